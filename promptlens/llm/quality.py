@@ -27,10 +27,13 @@ from pyspark.sql import functions as F
 
 from promptlens.llm.common import bytes_view, steps, text_of
 
-PER_CLASS = 2_000
+PER_CLASS = 3_000
 BITS = 17
+#: Texts with fewer distinct n-grams count as having so many: few n-grams are weak evidence.
+SHORT = 400
 THRESHOLD = 0.7
 EPOCHS = 20
+COST = 4.0
 #: Weight of the scaled model against a flat one of its mean size.
 BETA = 0.5
 
@@ -55,36 +58,42 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -500, 500)))
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: float = 1.0, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
-    """Weights and bias of the hinge-loss model; rows hold feature indices, ``scale`` the value of each feature."""
+def length_factor(count):
+    """Every text's vector is divided by the root of its feature count, so that margins of long and short texts have one range."""
+    return 1 / np.sqrt(np.maximum(count, SHORT))
+
+
+def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
+    """Weights and bias of the hinge-loss model; rows hold feature indices, ``scale`` the value of each feature, ``cost`` the upper bound of each row's dual variable."""
     rng = np.random.default_rng(7)
     weights, bias, alpha = np.zeros(len(scale)), 0.0, np.zeros(len(rows))
-    value = [scale[r] for r in rows]
+    value = [scale[r] * length_factor(len(r)) for r in rows]
     norm = np.array([v @ v + 1 for v in value])
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(rows)):
             gradient = y[i] * (weights[rows[i]] @ value[i] + bias) - 1
-            new = min(max(alpha[i] - gradient / norm[i], 0.0), cost)
+            new = min(max(alpha[i] - gradient / norm[i], 0.0), cost[i])
             if new != alpha[i]:
                 step = (new - alpha[i]) * y[i]
                 weights[rows[i]] += step * value[i]
                 bias += step
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
-        if moved < 1e-3 * cost:
+        if moved < 1e-3:
             break
     return weights * scale, bias
 
 
-def logistic(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the logistic curve, by Newton steps with smoothed targets."""
+def logistic(margin: np.ndarray, label: np.ndarray, share: float) -> tuple[float, float]:
+    """Slope and shift of the logistic curve, by Newton steps with smoothed targets; ``share`` of all labels are 1, whatever the sample's share."""
     good, bad = label.sum(), (1 - label).sum()
+    weight = np.where(label > 0, share / max(good, 1), (1 - share) / max(bad, 1)) * len(label)
     target = np.where(label > 0, (good + 1) / (good + 2), 1 / (bad + 2))
     a, b = 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * margin + b, -500, 500)))
-        g, w = p - target, np.maximum(p * (1 - p), 1e-9)
+        g, w = weight * (p - target), weight * np.maximum(p * (1 - p), 1e-9)
         h = np.array([[(w * margin * margin).sum() + 1e-3, (w * margin).sum()], [(w * margin).sum(), w.sum() + 1e-3]])
         step = np.linalg.solve(h, [(g * margin).sum(), g.sum()])
         a, b = a - step[0], b - step[1]
@@ -93,7 +102,7 @@ def logistic(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return float(max(a, 1e-3)), float(b)
 
 
-def fit(rows: list[np.ndarray], label: np.ndarray) -> Model:
+def fit(rows: list[np.ndarray], label: np.ndarray, share: float = 0.5) -> Model:
     label = label.astype(float)
     if not len(rows) or label.min() == label.max():
         share = label.mean() if len(rows) else 0.5
@@ -106,13 +115,13 @@ def fit(rows: list[np.ndarray], label: np.ndarray) -> Model:
     for r, q in zip(rows, label, strict=True):
         counts[int(q), r] += 1
     ratio = np.log((counts[1] / counts[1].sum()) / (counts[0] / counts[0].sum()))
-    size = np.sqrt(np.mean([max(len(r), 1) for r in rows]))  # keeps margins of long and short texts in one range
     train = np.flatnonzero(~held)
-    weights, bias = dual_coordinate_descent([rows[i] for i in train], label[train] * 2 - 1, ratio / size)
+    weight = np.where(label > 0, share / label.mean(), (1 - share) / (1 - label.mean()))  # the classes weigh as in all labels
+    weights, bias = dual_coordinate_descent([rows[i] for i in train], label[train] * 2 - 1, ratio, COST * weight[train])
     weights = (1 - BETA) * np.abs(weights).mean() * np.sign(weights) + BETA * weights
     see = np.flatnonzero(held) if held.any() else train
-    margin = np.array([weights[rows[i]].sum() + bias for i in see])
-    return Model(weights, bias, *logistic(margin, label[see]))
+    margin = np.array([weights[rows[i]].sum() * length_factor(len(rows[i])) + bias for i in see])
+    return Model(weights, bias, *logistic(margin, label[see], share))
 
 
 def held_out(doc_id):
@@ -122,6 +131,7 @@ def held_out(doc_id):
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """The model of a bounded sample of the labelled rows that are not held out."""
     usable = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_quality")).where(F.col("_quality").isin(0, 1) & ~held_out("_id"))
+    total = {r["_quality"]: r["n"] for r in usable.groupBy("_quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     sample = [usable.where(F.col("_quality") == q).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for q in (0, 1)]
     chosen = sample[0].union(sample[1])  # at most 2 * per_class rows of two numbers
     texts = docs.select(F.col("doc_id").alias("_doc"), text_of().alias("text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_id", "_quality", "text")
@@ -135,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     found = texts.mapInArrow(extract, "_id long, _quality int, f binary").dropDuplicates(["_id", "_quality"]).toArrow()
     order = np.argsort(found.column("_id").to_numpy(), kind="stable")
     rows = [np.frombuffer(found.column("f")[int(i)].as_buffer(), np.int32) for i in order]
-    return fit(rows, found.column("_quality").to_numpy()[order])
+    return fit(rows, found.column("_quality").to_numpy()[order], total.get(1, 0) / max(sum(total.values()), 1))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -152,7 +162,8 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             for i, (a, b) in enumerate(zip(at, at[1:], strict=False)):
                 f = features(data[a:b])
                 seen[f] = True
-                margin[i] = m.weights[np.flatnonzero(seen)].sum() + m.bias
+                own = np.flatnonzero(seen)
+                margin[i] = m.weights[own].sum() * length_factor(len(own)) + m.bias
                 seen[f] = False
             p = m.probability(margin)
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*names, "score", "predicted"])
