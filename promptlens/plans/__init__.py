@@ -1,0 +1 @@
+"""promptlens.plans"""
