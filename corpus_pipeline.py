@@ -49,7 +49,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best-fit packing", packing_stage),
 ]
 
-#: A classifier is fitted in the first stage, so SQL cannot express the rows; the tests hold them against a plain version.
+#: A classifier is fitted in the first stage, so SQL cannot express the rows; the tests hold the operators of the stages, not yet the whole run, against plain versions.
 ORACLE_SQL = None
 
 
