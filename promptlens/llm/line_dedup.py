@@ -8,7 +8,7 @@ the Jaccard similarity of whole lines is verified.  A line goes when an
 earlier line (by doc_id, then line number) is similar to it or has the same
 tokens.
 
-Rarity comes from a count of all words.  The order only has to be one and the
+Rarity comes from the lines each word is in, over all lines.  The order only has to be one and the
 same everywhere, so the counts are kept as logarithms in a table of
 ``2**BUCKET_BITS`` bytes whatever the size of the vocabulary; words of one
 bucket count together.  That table is what every task gets.
@@ -28,14 +28,16 @@ from promptlens.llm.common import stash, text_of
 
 THRESHOLD = 0.8
 BUCKET_BITS = 18
-#: Candidate lines up to this number are looked up by broadcast (24 bytes each), more by a shuffled join.
+#: Candidate lines up to this number are looked up by broadcast (36 bytes each), more by a shuffled join.
 BROADCAST_LINES = 500_000
 _BLOCK = 4096
 _LAST = 9223372036854775807
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(text_of(), "\n")).alias("line", "text"))
+    """d (doc_id, null last), doc_id, line, hashes: the sorted distinct token hashes of every line."""
+    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(text_of(), "\n")).alias("line", "text"))
+    return lines.select(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), "doc_id", "line", F.sort_array(F.array_distinct(_hashes(F.col("text")))).alias("hashes"))
 
 
 def _hashes(text: Column) -> Column:
@@ -43,65 +45,65 @@ def _hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << 60) - 1)))
 
 
-def word_table(docs: DataFrame, bits: int = BUCKET_BITS) -> bytes:
-    """Byte b: the base-2 logarithm of how often words of bucket b occur."""
-    counts = _lines(docs).select(F.explode(_hashes(F.col("text"))).alias("h")).groupBy(F.col("h").bitwiseAND(F.lit((1 << bits) - 1)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+def word_table(lines: DataFrame, bits: int = BUCKET_BITS) -> bytes:
+    """Byte b: the base-2 logarithm of how many lines the words of bucket b occur in, counted for each word."""
+    counts = lines.select(F.explode("hashes").alias("h")).groupBy(F.col("h").bitwiseAND(F.lit((1 << bits) - 1)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     level = F.chr(F.lit(97) + F.least(F.floor(F.log2("n")), F.lit(25)))
-    every = docs.sparkSession.range(1 << bits).withColumnRenamed("id", "b").join(counts, "b", "left")
+    every = lines.sparkSession.range(1 << bits).withColumnRenamed("id", "b").join(counts, "b", "left")
     leveled = every.select(F.floor(F.col("b") / _BLOCK).alias("block"), F.struct("b", F.coalesce(level, F.lit("a")).alias("c")).alias("x"))
     rows = leveled.groupBy("block").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["c"]), "").alias("s")).orderBy("block").collect()
     return "".join(r["s"] for r in rows).encode()
 
 
-def _tokens(text: Column, table: bytes, bits: int) -> Column:
-    """The distinct tokens, rarest first: the level stands in the top bits of each."""
+def _rarest_first(hashes: Column, table: bytes, bits: int) -> Column:
+    """The level stands in the top bits of each token."""
     held = F.lit(table)
     level = lambda h: F.ascii(F.substring(held, (h.bitwiseAND(F.lit((1 << bits) - 1)) + 1).cast("int"), F.lit(1)).cast("string")) - 97
-    marked = F.transform(_hashes(text), lambda h: h.bitwiseAND(F.lit((1 << 58) - 1)).bitwiseOR(F.shiftleft(level(h).cast("long"), 58)))
-    return F.sort_array(F.array_distinct(marked))
-
-
-def _keyed(docs: DataFrame, table: bytes, bits: int) -> DataFrame:
-    own = _lines(docs).select("doc_id", "line", _tokens(F.col("text"), table, bits).alias("tokens"))
-    return own.select("doc_id", "line", "tokens", F.size("tokens").alias("n"), F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(7), "tokens").alias("k2"))
+    return F.sort_array(F.transform(hashes, lambda h: h.bitwiseAND(F.lit((1 << 58) - 1)).bitwiseOR(F.shiftleft(level(h).cast("long"), 58))))
 
 
 def _least_overlap(a: str, b: str, threshold: float) -> Column:
     return F.ceil((F.col(a) + F.col(b)) * F.lit(threshold / (1 + threshold)) - 1e-9)
 
 
-def similar_lines(groups: DataFrame, docs: DataFrame, table: bytes, bits: int, threshold: float) -> DataFrame:
-    """(a, b): ids of verified similar groups of lines; groups has id, doc_id, line, n, prefix."""
-    posted = groups.select("id", "n", F.posexplode("prefix").alias("at", "token"))
-    side = {x: posted.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at{x}"), "token") for x in "ab"}
+def similar_groups(groups: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): ids of verified similar groups of lines, a the earlier; groups has id, k1, k2, d, line, n, prefix."""
+    posted = groups.select("id", "d", "line", "n", F.posexplode("prefix").alias("at", "token"))
+    side = {x: posted.select(F.col("id").alias(x), F.struct("d", "line", "id").alias(f"p{x}"), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at{x}"), "token") for x in "ab"}
     room = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb"))
-    pairs = side["a"].join(side["b"], "token").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9) & (room >= _least_overlap("na", "nb", threshold)))
+    pairs = side["a"].join(side["b"], "token").where((F.col("pa") < F.col("pb")) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9) & (room >= _least_overlap("na", "nb", threshold)))
     pairs = stash(pairs.select("a", "b").distinct(), "line-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    places = stash(groups.select("id", "doc_id", "line").join(wanted, "id").select("id", F.coalesce("doc_id", F.lit(_LAST)).alias("d"), "line"), "line-places")
+    places = stash(groups.select("id", "d", "line", "k1", "k2").join(wanted, "id"), "line-places")
     look = F.broadcast(places) if places.count() <= BROADCAST_LINES else places
-    texts = _lines(docs).select(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), "line", "text").join(look, ["d", "line"]).groupBy("id").agg(F.min("text").alias("text"))
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    sets = both.select("a", "b", _tokens(F.col("ta"), table, bits).alias("ta"), _tokens(F.col("tb"), table, bits).alias("tb"))
-    common = F.size(F.array_intersect("ta", "tb"))
-    return sets.where(common >= F.lit(threshold) * (F.size("ta") + F.size("tb") - common) - 1e-9).select("a", "b")
+    at = lines.where(F.size("hashes") > 0).select("d", "line", *_keys(), "hashes")
+    sets = at.join(look, ["d", "line", "k1", "k2"]).groupBy("id").agg(F.first("hashes").alias("hashes"))
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("tb")), "b")
+    both = both.select("a", "b", (F.size("ta") + F.size("tb")).alias("sizes"), F.size(F.array_intersect("ta", "tb")).alias("common"))
+    return both.where(F.col("common") >= F.lit(threshold) * (F.col("sizes") - F.col("common")) - 1e-9).select("a", "b")
+
+
+def _keys() -> list[Column]:
+    return [F.xxhash64("hashes").alias("k1"), F.xxhash64(F.lit(7), "hashes").alias("k2")]
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, bits: int = BUCKET_BITS) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (sorted line numbers, from 0) of every document."""
-    table = word_table(docs, bits)
-    prefix = F.slice("tokens", 1, F.greatest(F.lit(1), F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).cast("int"))
-    place = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), "doc_id", "line")
-    found = _keyed(docs, table, bits).where("n > 0").select("k1", "k2", "n", prefix.alias("prefix"), place.alias("place"))
+    lines = stash(_lines(docs), "line-tokens")  # texts are cut into words once only
+    n = F.size("hashes")
+    length = F.greatest(F.lit(1), n - F.ceil(n * F.lit(threshold) - 1e-9) + 1).cast("int")
+    prefix = F.slice(_rarest_first(F.col("hashes"), word_table(lines, bits), bits), F.lit(1), length)
+    place = F.struct("d", "line")
+    found = lines.where(n > 0).select(*_keys(), n.alias("n"), prefix.alias("prefix"), place.alias("place"))
     groups = found.groupBy("k1", "k2").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("places"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    groups = stash(groups.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "n", "places", "place.doc_id", "place.line", "prefix"), "lines")
-    pairs = similar_lines(groups, docs, table, bits, threshold)
-    order = {x: groups.select(F.col("id").alias(x), F.struct(F.coalesce("doc_id", F.lit(_LAST)), "line").alias(f"p{x}")) for x in "ab"}
-    later = pairs.join(order["a"], "a").join(order["b"], "b").select(F.when(F.col("pa") > F.col("pb"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct().withColumn("similar", F.lit(True))
-    flags = groups.select("id", "k1", "k2", "places", F.col("doc_id").alias("d0"), F.col("line").alias("l0")).join(later, "id", "left").where("places > 1 or similar")
+    groups = stash(groups.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "n", "places", "place.d", "place.line", "prefix"), "lines")
+    later = similar_groups(groups, lines, threshold).select(F.col("b").alias("id")).distinct().withColumn("similar", F.lit(True))
+    flags = groups.select("id", "k1", "k2", "places", F.col("d").alias("d0"), F.col("line").alias("l0")).join(later, "id", "left").where("places > 1 or similar")
+    # Joined on derived values, so that adaptive execution can split a hot line.
     flags = flags.select(F.bitwise_not("k1").alias("j1"), F.bitwise_not("k2").alias("j2"), "d0", "l0", F.coalesce("similar", F.lit(False)).alias("similar"))
-    own = _keyed(docs, table, bits).select("doc_id", "line", F.when(F.col("n") > 0, F.bitwise_not("k1")).alias("j1"), F.when(F.col("n") > 0, F.bitwise_not("k2")).alias("j2"))
-    first = F.col("doc_id").eqNullSafe(F.col("d0")) & (F.col("line") == F.col("l0"))
+    k1, k2 = _keys()
+    own = lines.select("d", "doc_id", "line", F.when(n > 0, F.bitwise_not(k1)).alias("j1"), F.when(n > 0, F.bitwise_not(k2)).alias("j2"))
+    first = (F.col("d") == F.col("d0")) & (F.col("line") == F.col("l0"))
     gone = F.when(F.col("similar").isNotNull() & (F.col("similar") | ~first), F.col("line"))
     return own.join(flags, ["j1", "j2"], "left").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count(gone).alias("n_removed"), F.array_sort(F.collect_list(gone)).alias("removed"))
 
