@@ -4,15 +4,18 @@
    one set are one node.  A node has 128 MinHash values: 32 bands of four
    give its buckets, the low byte of each its signature.
 2. Candidates are the pairs of a bucket.  A pair of similarity 0.8 misses
-   all 32 bands with a probability of 5e-8.  Buckets of more than ``SMALL``
-   nodes hold links to several leaders in place of all pairs: their links put
-   the bucket's similar nodes into one class, and no pair list grows with the
-   square of a group.
+   all 32 bands with a probability of 5e-8.  In buckets of more than ``SMALL``
+   nodes only pairs with several leaders are taken at first, so no pair list
+   grows with the square of a group of near copies.
 3. Signatures are compared a few values at a time; a pair is dropped when the
    posterior probability that its similarity reaches the threshold falls
    below ``tolerance`` (uniform prior, one-byte collisions accounted for).
 4. The others are verified exactly on their whole shingle sets.
 5. Classes are the connected components of the verified links.
+6. In a large bucket whose nodes are then in several classes, every node
+   outside its main class is compared with every node of another class, in
+   blocks, by steps 3 and 4.  So no link between classes is lost; the links
+   that leaders already make needless are not listed.
 
 Defined cases: texts without any word (also null and empty ones) have no set
 and stand alone; a text of fewer than five words has one shingle, all its
@@ -38,6 +41,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 32, 4
 SMALL = 16
 LEADERS = 4
+#: Nodes of a large bucket that are compared at once with as many others.
+BLOCK = 2048
 TOLERANCE = 1e-9
 STEP = 16
 
@@ -118,22 +123,45 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return small.union(star).distinct()
 
 
-def links(docs: DataFrame, table: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """Verified pairs (a, b) of different shingle sets with similarity of at least ``threshold``."""
-    nodes = table.where("key is not null").groupBy("key").agg(F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
-    nodes = stash(nodes, "nodes")
-    side = {x: nodes.select(F.col("key").alias(x), F.col("text_key").alias(f"t{x}"), F.col("n").alias(f"n{x}"), F.col("signature").alias(f"s{x}")) for x in "ab"}
-    fewest = fewest_matches(threshold, tolerance)
-
-    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                a, b = (bytes_view(batch.column(x))[0].reshape(-1, BANDS * ROWS) for x in ("sa", "sb"))
-                kept = batch.select(["a", "b", "ta", "tb"]).filter(pa.array(may_reach(a, b, fewest)))
-                yield pa.RecordBatch.from_arrays([c.cast(pa.binary()) for c in kept.columns], ["a", "b", "ta", "tb"])
-
-    sized = candidates(nodes).join(side["a"], "a").join(side["b"], "b").where(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-    pairs = stash(sized.mapInArrow(prune, "a binary, b binary, ta binary, tb binary"), "pairs")
+def unlinked_candidates(nodes: DataFrame, roots: DataFrame, threshold: float, fewest: list[int]) -> DataFrame:
+    """Pairs (a, b) of large buckets whose nodes are in different classes and whose signatures may reach the threshold."""
+    own = nodes.join(roots.select(F.col("u").alias("key"), "root"), "key", "left").select("key", "n", "bands", "signature", F.xxhash64(F.coalesce("root", "key")).alias("class"))
+    posted = own.select("key", "n", "signature", "class", F.explode("bands").alias("bucket"))
+    classes = posted.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("size"))
+    mixed = classes.groupBy("bucket").agg(F.sum("size").alias("size"), F.max("size").alias("most"), F.max_by("class", "size").alias("main")).where((F.col("size") > SMALL) & (F.col("most") < F.col("size")))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = mixed.select(F.bitwise_not("bucket").alias("j"), "main", blocks(F.col("size")).alias("across"), blocks(F.col("size") - F.col("most")).alias("down"))
+    rows = posted.withColumn("j", F.bitwise_not("bucket")).join(mixed, "j")
+    outside = F.col("class") != F.col("main")
+    place = lambda n, seed: F.pmod(F.xxhash64("key", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = ["key", "n", "signature", "class", outside.alias("outside")]
+    members = rows.select("bucket", *held, F.lit(False).alias("asks"), place("across", 101).alias("x"), every("down").alias("y"))
+    asking = rows.where(outside).select("bucket", *held, F.lit(True).alias("asks"), every("across").alias("x"), place("down", 102).alias("y"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").to_numpy()
+        key = np.array(table.column("key").to_pylist(), "S16")
+        size, group, free = (table.column(c).to_numpy() for c in ("n", "class", "outside"))
+        signature = bytes_view(table.column("signature"))[0].reshape(-1, BANDS * ROWS)
+        other = np.flatnonzero(~asks)
+        key_o, size_o, group_o, free_o, signature_o = key[other], size[other], group[other], free[other], signature[other]
+        left, right = [], []
+        for i in np.flatnonzero(asks):
+            fits = np.minimum(size[i], size_o) >= threshold * np.maximum(size[i], size_o)
+            at = np.flatnonzero(fits & (group_o != group[i]) & (~free_o | (key_o > key[i])))
+            at = at[may_reach(np.broadcast_to(signature[i], (len(at), BANDS * ROWS)), signature_o[at], fewest)]
+            left.append(np.full(len(at), i)), right.append(other[at])
+        left, right = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (left, right))
+        low = np.where(key[left] < key[right], left, right)
+        keys = table.column("key").cast(pa.binary())
+        return pa.table({"a": keys.take(pa.array(low)), "b": keys.take(pa.array(left + right - low))})
+
+    return members.union(asking).groupBy("bucket", "x", "y").applyInArrow(compare, "a binary, b binary").distinct()
+
+
+def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """Those (a, b) of ``pairs`` (a, b, ta, tb: text keys) whose shingle sets have a similarity of at least ``threshold``."""
     needed = pairs.select(F.col("ta").alias("t")).union(pairs.select("tb")).distinct()
     texts = docs.select(text_key().alias("t"), text_of().alias("text")).groupBy("t").agg(F.first("text").alias("text")).join(needed, "t", "left_semi")
 
@@ -155,13 +183,42 @@ def links(docs: DataFrame, table: DataFrame, threshold: float = THRESHOLD, toler
     return stash(with_both.mapInArrow(verify, "a binary, b binary"), "links")
 
 
+def links(docs: DataFrame, table: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame]:
+    """Verified pairs (a, b) of different shingle sets with similarity of at least ``threshold``, and the class root of each of their nodes."""
+    nodes = table.where("key is not null").groupBy("key").agg(F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
+    nodes = stash(nodes, "nodes")
+    side = {x: nodes.select(F.col("key").alias(x), F.col("text_key").alias(f"t{x}"), F.col("n").alias(f"n{x}"), F.col("signature").alias(f"s{x}")) for x in "ab"}
+    fewest = fewest_matches(threshold, tolerance)
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (bytes_view(batch.column(x))[0].reshape(-1, BANDS * ROWS) for x in ("sa", "sb"))
+                kept = batch.select(["a", "b", "ta", "tb"]).filter(pa.array(may_reach(a, b, fewest)))
+                yield pa.RecordBatch.from_arrays([c.cast(pa.binary()) for c in kept.columns], ["a", "b", "ta", "tb"])
+
+    sized = candidates(nodes).join(side["a"], "a").join(side["b"], "b").where(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
+    pairs = stash(sized.mapInArrow(prune, "a binary, b binary, ta binary, tb binary"), "pairs")
+    found = verified(docs, pairs, threshold)
+    roots = _roots(found)
+    rest = stash(unlinked_candidates(nodes, roots, threshold, fewest), "unlinked")
+    if rest.isEmpty():
+        return found, roots
+    keys = {x: nodes.select(F.col("key").alias(x), F.col("text_key").alias(f"t{x}")) for x in "ab"}
+    found = found.union(verified(docs, rest.join(keys["a"], "a").join(keys["b"], "b"), threshold)).distinct()
+    return found, _roots(found)
+
+
+def _roots(found: DataFrame) -> DataFrame:
+    return connected_components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """doc_id, class_id (the least doc_id of the class), n_links (verified links of its text to different texts), text_key, for every row of ``docs``."""
     table = stash(sketches(docs), "sketches")
-    found = links(docs, table, threshold, tolerance)
+    found, roots = links(docs, table, threshold, tolerance)
     degree = found.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
-    root = connected_components(found.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("u").alias("key"), "root")
-    node = root.join(degree, "key")
+    node = roots.select(F.col("u").alias("key"), "root").join(degree, "key")
     rows = table.select("doc_id", "text_key", "key").join(node, "key", "left").select("doc_id", "text_key", "n_links", F.coalesce("root", "key").alias("class"))
     least = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1")
     least = least.select(F.xxhash64("class").alias("j"), F.col("class").alias("c"), "least")

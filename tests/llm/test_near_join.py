@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 from promptlens.llm import near_join, words
 from promptlens.llm.components import connected_components
 
@@ -61,6 +62,32 @@ def test_classes_match_brute_force(spark):
         assert got == dict(enumerate(plain(texts)))
 
 
+def family(seed, n):
+    """Texts of which each is above the threshold to its twin only, and shares all its words with many others."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randint(0, 9999)}" for _ in range(400)]
+    out = []
+    for _ in range(n):
+        own = [f"{w}{rng.choice('xy')}" if i % 10 == 0 else w for i, w in enumerate(base)]
+        twin = list(own)
+        i = 10 * rng.randrange(40)
+        twin[i] = base[i] + ("y" if own[i][-1] == "x" else "x")
+        out += [" ".join(own), " ".join(twin)]
+    return out
+
+
+def test_links_between_classes_of_a_large_bucket_are_found(spark, monkeypatch):
+    for name, n in (("BLOCK", 20), ("SMALL", 1), ("LEADERS", 1)):
+        monkeypatch.setattr(near_join, name, n)
+    texts = family(5, 60)
+    df = spark.createDataFrame([(i, t, b"", 0, 0, "") for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: r.class_id for r in near_join.near_duplicates(df).collect()}
+    assert got == dict(enumerate(plain(texts)))
+    none = lambda nodes, *_: nodes.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
+    monkeypatch.setattr(near_join, "unlinked_candidates", none)
+    assert got != {r.doc_id: r.class_id for r in near_join.near_duplicates(df).collect()}
+
+
 def test_null_ids_repeats_and_empty_table(spark):
     df = spark.createDataFrame([(None, "p q r s t u", b"", 0, 0, ""), (7, "p q r s t u", b"", 0, 0, ""), (7, "p q r s t u", b"", 0, 0, ""), (9, None, b"", 0, 0, "")], DOCS)
     got = sorted(((r.doc_id, r.class_id, r.n_links) for r in near_join.near_duplicates(df).collect()), key=str)
