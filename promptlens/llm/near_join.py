@@ -125,13 +125,13 @@ def candidates(nodes: DataFrame) -> DataFrame:
 
 def unlinked_candidates(nodes: DataFrame, roots: DataFrame, threshold: float, fewest: list[int]) -> DataFrame:
     """Pairs (a, b) of large buckets whose nodes are in different classes and whose signatures may reach the threshold."""
-    own = nodes.join(roots.select(F.col("u").alias("key"), "root"), "key", "left").select("key", "n", "bands", "signature", F.xxhash64(F.coalesce("root", "key")).alias("class"))
-    posted = own.select("key", "n", "signature", "class", F.explode("bands").alias("bucket"))
+    own = nodes.select("key", "bands").join(roots.select(F.col("u").alias("key"), "root"), "key", "left").select("key", "bands", F.xxhash64(F.coalesce("root", "key")).alias("class"))
+    posted = own.select("key", "class", F.explode("bands").alias("bucket"))
     classes = posted.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("size"))
     mixed = classes.groupBy("bucket").agg(F.sum("size").alias("size"), F.max("size").alias("most"), F.max_by("class", "size").alias("main")).where((F.col("size") > SMALL) & (F.col("most") < F.col("size")))
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     mixed = mixed.select(F.bitwise_not("bucket").alias("j"), "main", blocks(F.col("size")).alias("across"), blocks(F.col("size") - F.col("most")).alias("down"))
-    rows = posted.withColumn("j", F.bitwise_not("bucket")).join(mixed, "j")
+    rows = posted.withColumn("j", F.bitwise_not("bucket")).join(mixed, "j").join(nodes.select("key", "n", "signature"), "key")
     outside = F.col("class") != F.col("main")
     place = lambda n, seed: F.pmod(F.xxhash64("key", F.lit(seed)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
