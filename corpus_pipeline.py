@@ -11,24 +11,34 @@ from promptlens.llm import exact_dedup, near_join, packing, quality, repeats
 from promptlens.llm.common import stash
 from promptlens.llm.queries import tokenizer_file
 
+#: A unique id of each row, which the first stage adds, the stage's writing fixes, and the last stage that removes rows takes off.
+ROW = "_pipeline_row"
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """``docs`` with a written ROW; doc_id does not tell rows apart, as it may repeat or be null."""
+    return docs if ROW in docs.columns else stash(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go; the rows that stay get their ROW."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model).where("predicted = 1").select(*docs.columns)
+    return quality.score(docs, model).where("predicted = 1").select(*docs.columns, F.monotonically_increasing_id().alias(ROW))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the longest, then first, row stays."""
-    kept = exact_dedup.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    """Of equal texts the longest, then first, row stays; of rows that repeat, one."""
+    rows = identified(docs)
+    return rows.join(exact_dedup.kept_rows(rows, ROW), ROW, "left_semi").select(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays: the one with the least doc_id."""
-    classes = near_join.near_duplicates(docs)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    """One document of each class of near duplicates stays: the one with the least doc_id (null last); of rows that repeat, one."""
+    rows = identified(docs)
+    classes = near_join.near_classes(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "class_id")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", ROW))
+    kept = rows.select(ROW, "doc_id").join(classes, ROW).groupBy("class_id").agg(least.alias("least")).select(F.col(f"least.{ROW}").alias(ROW))
+    return rows.join(kept, ROW, "left_semi").select(*[c for c in docs.columns if c != ROW])
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

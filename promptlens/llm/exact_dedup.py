@@ -49,16 +49,21 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     return groups.withColumn("group_size", F.when(F.col("texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts share both digests")))).drop("texts")
 
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row of ``docs``."""
+def _matched(docs: DataFrame, *others: str) -> DataFrame:
+    """Every row of ``docs`` (doc_id, ``others``, chars) with text_sha256, its group's key k and, in groups of two rows or more, keep and group_size."""
     norm = F.translate(text_of(), _SPACE, "")
-    rows = docs.select("doc_id", norm.alias("norm")).select(
-        "doc_id", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), F.concat(F.unhex(F.md5("norm")), F.unhex(F.sha2(F.col("norm").cast("binary"), 256))).alias("k")
+    rows = docs.select("doc_id", *others, F.length(text_of()).alias("chars"), norm.alias("norm")).select(
+        "doc_id", *others, "chars", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), F.concat(F.unhex(F.md5("norm")), F.unhex(F.sha2(F.col("norm").cast("binary"), 256))).alias("k")
     )
     # Only groups of two rows or more need a partner; the joined key is derived so that both sides have an exchange of their own, which adaptive execution may split when one text is hot.
     many = exact_groups(docs).where("group_size > 1").select(F.concat("content_hash", F.unhex("text_sha256")).alias("k"), _doc_of(F.col("rank")).alias("keep"), "group_size")
+    return rows.join(many, "k", "left")
+
+
+def exact_dedup(docs: DataFrame) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for every row of ``docs``."""
     found = F.col("group_size").isNotNull()
-    return rows.join(many, "k", "left").select(
+    return _matched(docs).select(
         "doc_id",
         F.when(found, F.col("keep")).otherwise(F.col("doc_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
@@ -67,6 +72,12 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     )
 
 
+def kept_rows(docs: DataFrame, row: str) -> DataFrame:
+    """``row``, a unique id, of exactly one row of each group: of the rows that ``exact_dedup`` keeps, which share a doc_id or have none, the longest, then the least ``row``."""
+    kept = _matched(docs, row).where(F.col("group_size").isNull() | F.col("doc_id").eqNullSafe(F.col("keep")))
+    return kept.groupBy("k").agg(F.max_by(row, F.struct("chars", -F.col(row))).alias(row)).select(row)
+
+
 ORACLE = r"""
 WITH n AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
 SELECT doc_id,

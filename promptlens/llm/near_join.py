@@ -213,14 +213,25 @@ def _roots(found: DataFrame) -> DataFrame:
     return connected_components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """doc_id, class_id (the least doc_id of the class), n_links (verified links of its text to different texts), text_key, for every row of ``docs``."""
-    table = stash(sketches(docs), "sketches")
-    found, roots = links(docs, table, threshold, tolerance)
-    degree = found.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
-    node = roots.select(F.col("u").alias("key"), "root").join(degree, "key")
+def _with_classes(table: DataFrame, node: DataFrame) -> DataFrame:
+    """doc_id, class_id (the least doc_id of the class), n_links, text_key for every row of ``table``; ``node`` has key, root and n_links."""
     rows = table.select("doc_id", "text_key", "key").join(node, "key", "left").select("doc_id", "text_key", "n_links", F.coalesce("root", "key").alias("class"))
     least = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1")
     least = least.select(F.xxhash64("class").alias("j"), F.col("class").alias("c"), "least")
     rows = rows.withColumn("j", F.xxhash64("class"))
     return rows.join(least, (rows["j"] == least["j"]) & (rows["class"] == least["c"]), "left").select("doc_id", F.coalesce("least", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "text_key")
+
+
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """doc_id and class_id of ``near_duplicates`` for every row of ``docs``, without its count of links."""
+    table = stash(sketches(docs), "sketches")
+    roots = links(docs, table, threshold, tolerance)[1]
+    return _with_classes(table, roots.select(F.col("u").alias("key"), "root", F.lit(0).alias("n_links"))).select("doc_id", "class_id")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """doc_id, class_id (the least doc_id of the class), n_links (verified links of its text to different texts), text_key, for every row of ``docs``."""
+    table = stash(sketches(docs), "sketches")
+    found, roots = links(docs, table, threshold, tolerance)
+    degree = found.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
+    return _with_classes(table, roots.select(F.col("u").alias("key"), "root").join(degree, "key"))

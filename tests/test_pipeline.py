@@ -1,0 +1,28 @@
+import random
+
+import corpus_pipeline as p
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def prose(seed, n=120):
+    rng = random.Random(seed)
+    return [f"w{rng.randint(0, 99_999)}" for _ in range(n)]
+
+
+def test_one_whole_row_stays_of_repeated_and_null_id_rows(spark):
+    twice, bare, near, once = (prose(s) for s in range(4))
+    edited = [*near[:-1], "other"]
+    texts = [(1, twice), (1, twice), (None, bare), (None, bare), (None, near), (None, edited), (None, near), (5, once), (5, [*once[:-2], "a", "b"]), (7, prose(8)), (7, prose(9)), (None, prose(10))]
+    rows = [(i, " ".join(w), "en", "s", len(" ".join(w))) for i, w in texts] + [(3, "a b", "en", "s", 3), (3, "ab", "en", "s", 2), (None, None, "en", "s", 0), (None, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    for stage in (p.exact_stage, p.near_stage, p.repeats_stage):
+        docs = stage(spark, docs, "")
+    assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    got = [(r.doc_id, r.text or "") for r in docs.collect()]
+    # One row of each group or class, with its text whole.
+    either = [{" ".join(near), " ".join(edited)}, {" ".join(once), " ".join([*once[:-2], "a", "b"])}]
+    for one in either:
+        assert len([t for _, t in got if t in one]) == 1
+    rest = sorted(((i, t) for i, t in got if not any(t in one for one in either)), key=str)
+    assert rest == sorted([(1, " ".join(twice)), (None, " ".join(bare)), (7, " ".join(prose(8))), (7, " ".join(prose(9))), (None, " ".join(prose(10))), (3, "a b"), (None, "")], key=str)
