@@ -14,8 +14,10 @@
 5. Classes are the connected components of the verified links.
 6. In a large bucket whose nodes are then in several classes, every node
    outside its main class is compared with every node of another class, in
-   blocks, by steps 3 and 4.  So no link between classes is lost; the links
-   that leaders already make needless are not listed.
+   blocks, by steps 3 and 4.  So no link between classes is lost.
+7. For n_links all pairs of a class are compared exactly, in blocks that give
+   counts and no pairs.  A link counts the distinct texts of the other node;
+   the other texts of the own node are links as well.
 
 Defined cases: texts without any word (also null and empty ones) have no set
 and stand alone; a text of fewer than five words has one shingle, all its
@@ -41,6 +43,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 32, 4
 SMALL = 16
 LEADERS = 4
+#: Nodes of a class, and their shingles, that one side of a counted block has at most (on average).
+COUNTED, COUNTED_SHINGLES = 512, 1 << 21
 #: Nodes of a large bucket that are compared at once with as many others.
 BLOCK = 2048
 TOLERANCE = 1e-9
@@ -183,8 +187,8 @@ def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     return stash(with_both.mapInArrow(verify, "a binary, b binary"), "links")
 
 
-def links(docs: DataFrame, table: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame]:
-    """Verified pairs (a, b) of different shingle sets with similarity of at least ``threshold``, and the class root of each of their nodes."""
+def links(docs: DataFrame, table: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Verified pairs (a, b) of different shingle sets with similarity of at least ``threshold``, the class root of each of their nodes, and all nodes."""
     nodes = table.where("key is not null").groupBy("key").agg(F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
     nodes = stash(nodes, "nodes")
     side = {x: nodes.select(F.col("key").alias(x), F.col("text_key").alias(f"t{x}"), F.col("n").alias(f"n{x}"), F.col("signature").alias(f"s{x}")) for x in "ab"}
@@ -203,10 +207,10 @@ def links(docs: DataFrame, table: DataFrame, threshold: float = THRESHOLD, toler
     roots = _roots(found)
     rest = stash(unlinked_candidates(nodes, roots, threshold, fewest), "unlinked")
     if rest.isEmpty():
-        return found, roots
+        return found, roots, nodes
     keys = {x: nodes.select(F.col("key").alias(x), F.col("text_key").alias(f"t{x}")) for x in "ab"}
     found = found.union(verified(docs, rest.join(keys["a"], "a").join(keys["b"], "b"), threshold)).distinct()
-    return found, _roots(found)
+    return found, _roots(found), nodes
 
 
 def _roots(found: DataFrame) -> DataFrame:
@@ -229,9 +233,66 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     return _with_classes(table, roots.select(F.col("u").alias("key"), "root", F.lit(0).alias("n_links"))).select("doc_id", "class_id")
 
 
+def similar(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of ``sets[left]`` (rows) reach the threshold with which of ``sets[right]`` (columns)."""
+    size = np.array([len(s) for s in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = n[at] > 1
+    at, owner = (np.cumsum(n > 1) - 1)[at[shared]], owner[shared]
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], owner[order]
+    common = np.zeros((len(left), len(right)))
+    for lo in range(0, int(at[-1]) + 1 if len(at) else 0, 4096):
+        a, b = np.searchsorted(at, (lo, lo + 4096))
+        has = np.zeros((len(sets), 4096), np.float32)
+        has[owner[a:b], at[a:b] - lo] = 1
+        common += has[left] @ has[right].T  # whole numbers up to 4096: exact
+    return common >= threshold * (size[left][:, None] + size[right] - common)
+
+
+def link_counts(docs: DataFrame, table: DataFrame, found: DataFrame, roots: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """key, n_links: the distinct texts that each text of a node is linked to, for nodes that have any."""
+    many = table.where("key is not null").select("key", "text_key").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    many = stash(many, "texts")
+    members = roots.select(F.col("u").alias("key"), "root").join(many, "key", "left").select("key", "root", F.coalesce("texts", F.lit(1)).alias("texts"))
+    members = stash(members.join(nodes.select("key", "text_key", "n"), "key"), "members")
+    listed = found.select(F.col("a").alias("key")).join(members.select("key", "root"), "key").groupBy("root").agg(F.count(F.lit(1)).alias("links"))
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"), F.sum("texts").alias("all")).join(listed, "root")
+    # Where every pair of the class is a verified link already, nothing is left to compare.
+    whole = F.col("links") * 2 == F.col("size") * (F.col("size") - 1)
+    sizes = stash(sizes.select(F.col("root").alias("r"), "all", whole.alias("whole"), F.ceil(F.greatest(F.col("size") / COUNTED, F.col("shingles") / COUNTED_SHINGLES)).cast("int").alias("blocks")), "sizes")
+    # Joined on a derived value, so that adaptive execution can split a hot class.
+    placed = members.withColumn("j", F.xxhash64("root")).join(sizes.withColumn("j", F.xxhash64("r")), "j").where("root = r").drop("j", "r")
+    placed = stash(placed, "placed")
+    done = placed.where("whole").select("key", (F.col("all") - F.col("texts")).alias("n"))
+    open_ = placed.where("not whole").select("key", "root", "text_key", "texts", "blocks", F.pmod(F.xxhash64("key", F.lit(103)), F.col("blocks")).cast("int").alias("own"))
+    needed = open_.select(F.col("text_key").alias("t"))
+    texts = docs.select(text_key().alias("t"), text_of().alias("text")).join(needed.distinct(), "t", "left_semi").groupBy("t").agg(F.first("text").alias("text"))
+    sent = open_.join(texts, F.col("text_key") == F.col("t")).select("key", "root", "texts", "text", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    sent = sent.select("key", "root", "texts", "text", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+
+    def count(batch: pa.Table) -> pa.Table:
+        sets = [s for b in steps(batch.select(["text"]).combine_chunks().to_batches(), "text") for s in shingle_sets(*bytes_view(b.column("text")))]
+        own, x, y, texts = (batch.column(c).to_numpy() for c in ("own", "x", "y", "texts"))
+        left, right = np.flatnonzero(own == x[0]), np.flatnonzero(own == y[0])
+        degree = np.zeros(len(sets), np.int64)
+        hit = similar(sets, left, right, threshold)
+        if x[0] == y[0]:
+            np.fill_diagonal(hit, False)
+            degree[left] = hit @ texts[right]
+        else:
+            degree[left], degree[right] = hit @ texts[right], texts[left] @ hit
+        return pa.table({"key": batch.column("key").cast(pa.binary()), "n": pa.array(degree)})
+
+    counted = sent.groupBy("root", "x", "y").applyInArrow(count, "key binary, n long")
+    within = many.select("key", (F.col("texts") - 1).alias("n"))
+    return done.union(counted).union(within).groupBy("key").agg(F.sum("n").alias("n_links"))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """doc_id, class_id (the least doc_id of the class), n_links (verified links of its text to different texts), text_key, for every row of ``docs``."""
+    """doc_id, class_id (the least doc_id of the class), n_links (distinct other texts that its text has a verified link to), text_key, for every row of ``docs``."""
     table = stash(sketches(docs), "sketches")
-    found, roots = links(docs, table, threshold, tolerance)
-    degree = found.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
-    return _with_classes(table, roots.select(F.col("u").alias("key"), "root").join(degree, "key"))
+    found, roots, nodes = links(docs, table, threshold, tolerance)
+    counts = link_counts(docs, table, found, roots, nodes, threshold)
+    return _with_classes(table, counts.join(roots.select(F.col("u").alias("key"), "root"), "key", "left"))

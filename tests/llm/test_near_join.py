@@ -109,3 +109,22 @@ def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 140)] + [(200, 201), (201, 202), (202, 200)]
     got = {r.u: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(51)}, **{i: 100 for i in range(100, 140)}, 200: 200, 201: 200, 202: 200}
+
+
+def linked(texts):
+    """Of each text, how many distinct other texts are linked to it."""
+    own = {t: shingles(t) for t in texts if shingles(t)}
+    return [sum(len(own[t] & s) >= 0.8 * len(own[t] | s) for o, s in own.items() if o != t) if t in own else 0 for t in texts]
+
+
+def test_n_links_counts_every_different_text(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(300)]
+    copies = [" ".join(base[:k] + [f"edit{k}"] + base[k + 1 :]) for k in rng.sample(range(300), 50)]
+    alike = ["One two, three four five six", "one two three four five six", "ONE two three four five six!", "one two three four five six"]
+    texts = copies + [copies[0].upper(), copies[1].replace(" ", ", ")] + alike + ["a lone text of six words", None, "..."]
+    df = spark.createDataFrame([(i, t, b"", 0, 0, "") for i, t in enumerate(texts)], DOCS)
+    for counted in (512, 7):
+        monkeypatch.setattr(near_join, "COUNTED", counted)
+        got = {r.doc_id: r.n_links for r in near_join.near_duplicates(df).collect()}
+        assert got == dict(enumerate(linked(texts)))
