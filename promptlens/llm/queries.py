@@ -18,9 +18,9 @@ def tokenizer_file(name: str) -> str:
 
 
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark row whose id is divisible by 20, against all documents."""
-    queries = _table(spark, sf_dir, "benchmark").where("item_id % 20 = 0").selectExpr("item_id AS query_id", "text")
-    return topk.search(_table(spark, sf_dir, "documents"), queries)
+    """Every document whose id is divisible by 20, against all documents."""
+    docs = _table(spark, sf_dir, "documents")
+    return topk.search(docs, docs.where("doc_id % 20 = 0").selectExpr("doc_id AS query_id", "text"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
