@@ -35,7 +35,7 @@ from promptlens.llm.common import stash, steps, text_of
 SEQUENCE = 1024
 END_ID = 2
 
-_ENCODERS: dict[tuple[str, str], object] = {}
+_ENCODERS: dict[tuple[str, str, bool], object] = {}
 #: Letters and spaces whose classes no version of Unicode has changed; for others only the tokenizer file's own library decides.
 _PLAIN = regex.compile(r"[\t-\r\x20-\x7e\xa0-ɏ]*")
 
@@ -45,27 +45,30 @@ class Encoder:
 
     Both files hold one vocabulary.  Texts of plain characters go through the
     faster library, all others through the one that the JSON file is made for.
+    With ``added`` the file's added tokens are found in texts, as its library
+    does by default; without, they are read as plain text.
     """
 
-    def __init__(self, json_path: str, ranks_path: str):
+    def __init__(self, json_path: str, ranks_path: str, added: bool = False):
         import tiktoken
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(json_path)
-        self.slow.encode_special_tokens = True
+        self.slow.encode_special_tokens = not added
+        self.marks = [t.content for t in self.slow.get_added_tokens_decoder().values()] if added else []
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         split = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
         self.fast = tiktoken.Encoding("ranks", pat_str=split, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
-        if _PLAIN.fullmatch(text):
+        if _PLAIN.fullmatch(text) and not any(m in text for m in self.marks):
             return np.array(self.fast.encode_ordinary(text), "<u4")
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4")
 
 
-def encoder(json_path: str, ranks_path: str) -> Encoder:
-    key = (json_path, ranks_path)
+def encoder(json_path: str, ranks_path: str, added: bool = False) -> Encoder:
+    key = (json_path, ranks_path, added)
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(*key)
     return _ENCODERS[key]
@@ -134,13 +137,13 @@ def best_fit_decreasing(counts: dict[int, int], size: int) -> pd.DataFrame:
     return pd.DataFrame(runs, columns=["length", "first", "pieces", "bin", "per_bin", "offset"], dtype="int64")
 
 
-def pieces(docs: DataFrame, json_path: str, ranks_path: str, size: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, json_path: str, ranks_path: str, size: int = SEQUENCE, end_id: int = END_ID, added: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, part, nth: every piece, numbered among the pieces of its length in its part."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, part = encoder(json_path, ranks_path), TaskContext.get().partitionId()
+        encode, part = encoder(json_path, ranks_path, added), TaskContext.get().partitionId()
         seen = np.zeros(size + 1, np.int64)
         tail = np.array([end_id], "<u4")
         for batch in steps(batches, "text"):
@@ -159,9 +162,9 @@ def pieces(docs: DataFrame, json_path: str, ranks_path: str, size: int = SEQUENC
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long")
 
 
-def pack(docs: DataFrame, json_path: str, ranks_path: str, size: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, json_path: str, ranks_path: str, size: int = SEQUENCE, end_id: int = END_ID, added: bool = False) -> DataFrame:
     """Every piece with its sequence_id and its offset there."""
-    table = stash(pieces(docs, json_path, ranks_path, size, end_id), "pieces")
+    table = stash(pieces(docs, json_path, ranks_path, size, end_id, added), "pieces")
     per_part = table.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     before = per_part.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
     counts = {r["length"]: r["n"] for r in table.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `size` rows

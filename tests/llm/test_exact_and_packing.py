@@ -83,3 +83,16 @@ def test_both_encoders_agree(spark):
     encode = packing.encoder(tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken"))
     for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect():
         assert list(encode(r.text)) == encode.slow.encode(r.text, add_special_tokens=False).ids
+
+
+def test_registered_packing_has_the_ids_of_the_unmodified_tokenizer(spark, tmp_path):
+    from promptlens.llm import queries
+    from tokenizers import Tokenizer
+
+    rows = [(1, "a <|endoftext|> b"), (2, "日本 <|endoftext|>"), (3, "<|endoftext|><|endoftext|>"), (4, "<|endoftext"), (5, None)]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    own = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    ids = {i: [*own.encode(t or "", add_special_tokens=False).ids, 2] for i, t in rows}
+    assert ids[1] == [64, 220, 50256, 275, 2]
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in queries.op3_best_fit_packing(spark, str(tmp_path)).collect()}
+    assert got == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in ids.items()}
