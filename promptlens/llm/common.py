@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import itertools
 import shutil
 import tempfile
 import uuid
@@ -76,6 +77,32 @@ def steps(batches: Iterator[pa.RecordBatch], column: str, most: int = STEP_BYTES
             at = end
 
 
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 4096) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of about ``least`` rows or more that cut no run of equal ``keys``, and where the runs start; the rows are sorted by them."""
+    held: list[pa.RecordBatch] = []
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            held += [batch] if batch.num_rows else []
+            if sum(b.num_rows for b in held) < least:
+                continue
+        if not held:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        change = np.zeros(table.num_rows, bool)
+        change[0] = True
+        for k in keys:
+            value = table.column(k).to_numpy()
+            change[1:] |= value[1:] != value[:-1]
+        starts = np.flatnonzero(change)
+        if batch is None:
+            yield table, starts
+        elif len(starts) > 1:  # the last run may go on
+            yield table.slice(0, starts[-1]), starts[:-1]
+            held = table.slice(starts[-1]).to_batches()
+        else:
+            held = table.to_batches()
+
+
 def binaries(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Array:
     """Rows ``data[start : start + length]`` as a binary array."""
     offsets = np.zeros(len(starts) + 1, np.int32)

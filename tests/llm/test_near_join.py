@@ -60,6 +60,24 @@ def test_classes_match_brute_force(spark):
         df = spark.createDataFrame([(i, t, b"", 0, 0, "") for i, t in enumerate(texts)], DOCS)
         got = {r.doc_id: r.class_id for r in near_join.near_duplicates(df).collect()}
         assert got == dict(enumerate(plain(texts)))
+        assert got == {r.doc_id: r.class_id for r in near_join.near_classes(df).collect()}
+
+
+def test_forest_unites_what_the_matrix_links():
+    rng = np.random.default_rng(2)
+    for n, m, p in ((1, 1, 1.0), (30, 20, 0.03), (40, 40, 0.02), (25, 60, 0.5), (10, 10, 0.0)):
+        hit = rng.random((n, m)) < p
+        i, j = near_join.forest(hit)
+        assert hit[i, j].all() and len(i) < n + m
+
+        def parts(links):
+            root = list(range(n + m))
+            for a, b in links:
+                x, y = (root[k] for k in (a, n + b))
+                root = [x if r == y else r for r in root]
+            return [root.index(r) for r in root]
+
+        assert parts(zip(i, j)) == parts(zip(*np.nonzero(hit)))
 
 
 def family(seed, n):
@@ -77,15 +95,16 @@ def family(seed, n):
 
 
 def test_links_between_classes_of_a_large_bucket_are_found(spark, monkeypatch):
-    for name, n in (("BLOCK", 20), ("SMALL", 1), ("LEADERS", 1)):
+    for name, n in (("BLOCK", 20), ("WHOLE", 1), ("LEADERS", 1)):
         monkeypatch.setattr(near_join, name, n)
     texts = family(5, 60)
     df = spark.createDataFrame([(i, t, b"", 0, 0, "") for i, t in enumerate(texts)], DOCS)
-    got = {r.doc_id: r.class_id for r in near_join.near_duplicates(df).collect()}
+    got = {r.doc_id: r.class_id for r in near_join.near_classes(df).collect()}
     assert got == dict(enumerate(plain(texts)))
-    none = lambda nodes, *_: nodes.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
-    monkeypatch.setattr(near_join, "unlinked_candidates", none)
-    assert got != {r.doc_id: r.class_id for r in near_join.near_duplicates(df).collect()}
+    assert got == {r.doc_id: r.class_id for r in near_join.near_duplicates(df).collect()}
+    none = lambda members, *_: members.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
+    monkeypatch.setattr(near_join, "outsiders", none)
+    assert got != {r.doc_id: r.class_id for r in near_join.near_classes(df).collect()}
 
 
 def test_null_ids_repeats_and_empty_table(spark):
