@@ -316,10 +316,9 @@ def groups_of(table: DataFrame, threshold: float, tolerance: float) -> tuple[Dat
     return nodes, roots.select(F.col("u").alias("key"), F.col("root").alias("bucket")).join(nodes.select("key", "text_key", "n"), "key")
 
 
-def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """text_key and text of the texts whose text_key is in ``keys``, once each."""
-    own = docs.select(text_key().alias("text_key"), text_of().alias("text")).groupBy("text_key").agg(F.first("text").alias("text"))
-    return own.join(keys.select("text_key"), "text_key", "left_semi")
+def _texts(docs: DataFrame) -> DataFrame:
+    """text_key and text of every text once; copies fold before the shuffle."""
+    return docs.select(text_key().alias("text_key"), text_of().alias("text")).groupBy("text_key").agg(F.first("text").alias("text"))
 
 
 def _classes(edges: DataFrame) -> DataFrame:
@@ -344,7 +343,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     nodes, grouped_nodes = groups_of(table, threshold, tolerance)
     members = stash(grouped_nodes, "grouped")
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-    held = _placed(members, sizes, "bucket").join(_texts(docs, members), "text_key").select("bucket", "key", "size", "text")
+    held = _placed(members, sizes, "bucket").join(_texts(docs), "text_key").select("bucket", "key", "size", "text")
     roots = _classes(united(held, Comparison(Sets, threshold)))
     return _with_classes(table, nodes, roots.withColumn("n_links", F.lit(0))).select("doc_id", "class_id")
 
@@ -376,7 +375,7 @@ def counted(docs: DataFrame, table: DataFrame, nodes: DataFrame, members: DataFr
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
     sizes = sizes.select("bucket", F.ceil(F.greatest(F.col("size") / COUNTED, F.col("shingles") / COUNTED_SHINGLES)).cast("int").alias("blocks"))
     placed = _placed(members, sizes, "bucket").withColumn("own", _part_of(F.col("blocks"), 103))
-    sent = placed.join(_texts(docs, members), "text_key").select("key", "bucket", "texts", "text", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    sent = placed.join(_texts(docs), "text_key").select("key", "bucket", "texts", "text", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     sent = sent.select("key", "bucket", "texts", "text", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
