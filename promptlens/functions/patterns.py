@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-# Fixed values: (id, pattern, ignore case), tested in this order.
+# Fixed values, from here to INVISIBLE: (id, pattern, ignore case), tested in this order; then lists and character sets.
 SANITIZE = [(r"\[EXTERNAL\]", True), (r"\[/EXTERNAL\]", True), (r"\[CONVERSATION\]", True), (r"\[/CONVERSATION\]", True), (r"\[Source:\s*[^\]]+\]", True), (r"https?://[^\s\]]+", False)]
 BLOCK = [
     ("ignore_previous", r"ignore\s+previous\s+instructions", True),
@@ -63,10 +63,58 @@ KEYWORDS = [
 MANY_DELIMITERS = ["###", "---", "===", "***", "|||", "<<<", ">>>"]
 ZERO_WIDTH = r"[\x{200B}\x{200C}\x{200D}\x{2060}-\x{2064}\x{FEFF}\x{180E}]"
 INVISIBLE = r"[\x{00A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
+HOMOGLYPHS = "аеорсхѕ"
+STRICT_ZERO_WIDTH = r"[\x{200B}\x{200C}\x{200D}\x{2060}\x{FEFF}]"
+STRICT_INVISIBLE = r"[\x{180E}\x{200E}\x{200F}\x{202A}-\x{202E}\x{2061}-\x{2064}\x{206A}-\x{206F}]"
 POLICIES = ["animal abuse", "violence", "fraud", "economic harm", "malware", "illegal activity", "bias", "hate speech", "physical harm", "government decision", "unethical behavior", "political sensitivity"]
+EXIF_TEXT = ["ImageDescription", "UserComment", "XPComment", "XPTitle", "XPSubject", "XPKeywords", "Artist", "Copyright", "Software", "Make", "Model"]
+EXIF_SUSPICIOUS = ["ignore", "system", "override", "<", ">", "script", "base64", "===", "admin", "bypass"]
+TOPICS = [
+    ("programming", ["dsa", "algorithm", "data structure", "stack", "array"]),
+    ("education", ["learn", "study", "practice", "exam"]),
+    ("programming", ["python", "machine learning", "code"]),
+    ("security", ["security", "injection", "hmac", "rag"]),
+    ("general_knowledge", ["paris", "earth", "water", "capital"]),
+]
 SAMPLE = 10_000
 
 
 def pyre(pattern: str, ignore_case: bool = False) -> str:
     """The pattern with the flags under which Java reads classes, dots and case as the rules mean them."""
     return ("(?iu)" if ignore_case else "") + "(?U)(?d)" + pattern
+
+
+#: Literals, lower case, that a text must hold before a rule can match: all entries, of each at least one alternative.  They only save work.
+NEEDED = {
+    "ignore_previous": ["ignore", "instructions"],
+    "disregard_prompts": ["disregard"],
+    "no_longer_ai": ["longer"],
+    "jailbreak_keyword": ["jailbreak"],
+    "bypass_safety": ["bypass"],
+    "override_system": ["override"],
+    "act_as_system": ["act", "system"],
+    "block_ignore_instructions": ["ignore"],
+    "block_disregard_prompts": ["disregard"],
+    "block_no_longer_ai": ["you", "longer|not", "ai|assistant|chatbot|model"],
+    "block_jailbreak_keywords": ["jailbr|mode"],
+    "block_bypass_safety": ["filter|measure|restriction"],
+    "block_act_as_system": ["act", "system"],
+    "triple_hash": ["###"],
+    "end_tag": ["<", "end"],
+    "fenced_code_block": ["```"],
+    "double_fence": ["````|====="],
+    "flag_triple_hash": ["###"],
+    "flag_end_tag": ["<", "end|stop|system|inst"],
+    "flag_repeated_delimiters": ["====|----|____|****"],
+    "flag_html_comment": ["<!--"],
+    "flag_script_injection": ["<", "script"],
+    "flag_prompt_leak": ["show|reveal|print|display", "prompt|instructions"],
+    "flag_role_play_system": ["pretend|imagine|roleplay|act", "admin|root|system"],
+    "c_cpp": ["#include|main|printf|void|#define"],
+    "java": ["public|system.out.println|static|private"],
+    "javascript": ["console.log|function|=>|const|let"],
+    "bash": ["#!/bin/|sudo|chmod|echo|export"],
+    "go": ["package|func|import"],
+}
+#: Rules that only characters beyond ASCII can match.
+BEYOND_ASCII = {"zero_width_chars", "format_controls", "flag_zero_width", "flag_unicode_controls"}

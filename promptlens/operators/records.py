@@ -90,16 +90,16 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 5, block: int = 2048)
 def first_wins(df: DataFrame, text: str, order: list[str]) -> DataFrame:
     """One row per dedup key: the first in ``order`` (a grouped minimum, so hot keys fold before the shuffle)."""
     rest = [c for c in df.columns if c not in order]
-    own = df.where(F.trim(text) != "").groupBy(T.dedup_key(F.col(text)).alias("key")).agg(F.min(F.struct(*order, *rest)).alias("r"))
+    own = df.where(T.strip(F.col(text)) != "").groupBy(T.dedup_key(F.col(text)).alias("key")).agg(F.min(F.struct(*order, *rest)).alias("r"))
     return own.select("key", "r.*")
 
 
-def first_error(*checks: tuple[Column, str]) -> Column:
-    return F.coalesce(*[F.when(c, F.lit(m)) for c, m in checks])
+def first_error(*checks: tuple[Column, Column | str]) -> Column:
+    return F.coalesce(*[F.when(c, m if isinstance(m, Column) else F.lit(m)) for c, m in checks])
 
 
 def validate_request(prompt: Column, most: int = 50_000) -> Column:
-    return first_error((F.coalesce(F.trim(prompt), F.lit("")) == "", "empty prompt"), (F.length(prompt) > most, "prompt too long"), (F.contains(prompt, F.lit("\x00")), "null byte"))
+    return first_error((F.coalesce(T.strip(prompt), F.lit("")) == "", "empty prompt"), (F.length(prompt) > most, "prompt too long"), (F.contains(prompt, F.lit("\x00")), "null byte"))
 
 
 def build_prompt(prompt: Column, external: Column) -> Column:

@@ -69,7 +69,8 @@ WITH = f"WITH v AS (SELECT *, {SEED} AS t FROM documents), s AS (SELECT *, {sani
 
 
 def screened(spark: SparkSession, sf: str) -> DataFrame:
-    df = seeded(spark, sf).withColumn("block", S.block_rule(F.col("c"))).withColumn("flags", S.flag_signatures(F.col("c")))
+    df = seeded(spark, sf).withColumn("low", S.folded(F.col("c")))
+    df = df.withColumn("block", S.block_rule(F.col("c"), low=F.col("low"))).withColumn("flags", S.flag_signatures(F.col("c"), low=F.col("low")))
     return df.withColumn("verdict", S.verdict(F.col("block"), F.col("flags")))
 
 
@@ -85,13 +86,15 @@ def q02_block_reason(spark, sf):
 
 @query(WITH + "SELECT flag, count(*) AS n FROM (SELECT unnest(flags) AS flag FROM z) GROUP BY flag")
 def q03_flag_signatures(spark, sf):
-    return screened(spark, sf).select(F.explode("flags").alias("flag")).groupBy("flag").agg(F.count(F.lit(1)).alias("n"))
+    return screened(spark, sf).select(F.explode_outer("flags").alias("flag")).where("flag is not null").groupBy("flag").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(WITH + "SELECT id, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{i}' AS id FROM s WHERE {like('c', p, ci)}" for i, p, ci in P.BLOCK + P.FLAG) + ") GROUP BY id")
 def q04_rule_hits_theta_join(spark, sf):
-    rules = spark.createDataFrame([(i, P.pyre(p, ci)) for i, p, ci in P.BLOCK + P.FLAG], "id string, pattern string")
-    return seeded(spark, sf).select("c").join(F.broadcast(rules), F.expr("regexp_like(c, pattern)")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    """Every rule against every text, as an array of constant patterns that is unnested: no join and one scan."""
+    low = S.folded(F.col("c"))
+    hits = F.array_compact(F.array(*[F.when(S.rule_hit(F.col("c"), low, i, p, ci), F.lit(i)) for i, p, ci in P.BLOCK + P.FLAG]))
+    return seeded(spark, sf).select(F.explode_outer(hits).alias("id")).where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(WITH + "SELECT lang, CAST(sum(length(c)) AS BIGINT) AS total, CAST(min(length(c)) AS BIGINT) AS least, CAST(max(length(c)) AS BIGINT) AS most FROM s GROUP BY lang")
@@ -112,7 +115,7 @@ V = f"WITH v AS (SELECT *, {SEED} AS t FROM documents), "
 
 
 def heuristic(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents").withColumn("t", F.expr(SEED)).withColumns(S.heuristics(F.col("t")))
+    return S.with_heuristics(table(spark, sf, "documents").withColumn("t", F.expr(SEED)), "t")
 
 
 @query(V + HEUR + " SELECT lang, " + ", ".join(f"CAST(count(*) FILTER ({f}) AS BIGINT) AS {n}" for f, n in zip(("f1", "f2", "f4", "f5", "f6", "f7", "f8"), ("has_base64", "has_delimiters", "has_long_line", "has_tags", "has_comments", "has_keywords", "has_many_delimiters"), strict=True)) + " FROM h GROUP BY lang")
@@ -126,10 +129,9 @@ def q07_repeated_chars(spark, sf):
     return heuristic(spark, sf).select("doc_id", "has_repeats")
 
 
-@query(r"SELECT page_id, CAST(len(regexp_extract_all(h,'</?[a-zA-Z][a-zA-Z0-9]*(?:\s+[^>\x02]*)?>')) AS BIGINT) AS n FROM (SELECT page_id, replace(replace(replace(substr(html,1,10000),'></',chr(2)||'</'),'>>',chr(2)||'>'),'>>',chr(2)||'>') AS h FROM pages)")
+@query(r"SELECT page_id, CAST(len(regexp_extract_all(h,'</?[a-zA-Z][a-zA-Z0-9]*(?:\s+[^>\x02]*)?>')) AS BIGINT) AS n FROM (SELECT page_id, replace(replace(replace(html,'></',chr(2)||'</'),'>>',chr(2)||'>'),'>>',chr(2)||'>') AS h FROM pages)")
 def q08_xml_tag_count(spark, sf):
-    n = F.regexp_count(F.substring("html", 1, 10_000), F.lit(r"</?[a-zA-Z][a-zA-Z0-9]*(?:\s+[^>]*)?>(?!</|>)"))
-    return table(spark, sf, "pages").select("page_id", n.cast("long").alias("n"))
+    return table(spark, sf, "pages").select("page_id", S.tag_count(F.col("html")).cast("long").alias("n"))
 
 
 @query(V + HEUR + ", " + RUNS + " SELECT score, count(*) AS n FROM (SELECT round(least(1.0, " + " + ".join(f"CASE WHEN {f} THEN {w} ELSE 0.0 END" for f, w in (("f1", 0.2), ("f2", 0.3), ("coalesce(m.n,0)>=20", 0.1), ("f4", 0.15), ("f5", 0.1), ("f6", 0.15), ("f7", 0.4), ("f8", 0.2))) + ")::DOUBLE, 2) AS score FROM h LEFT JOIN m USING(doc_id)) GROUP BY score")
@@ -161,15 +163,17 @@ def q12_mask_counts(spark, sf):
 
 
 def coded(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents").withColumn("t", F.expr(SEED)).withColumns(S.code(F.col("t")))
+    return S.with_code(table(spark, sf, "documents").withColumn("t", F.expr(SEED)), "t")
 
 
 FENCE = r"'```(\w*)\n?([\s\S]*?)```'"
+STRIPPED = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+BLOCKS = f"list_filter(list_zip(list_transform(regexp_extract_all(t, {FENCE}, 1), lambda x: lower(x)), list_transform(regexp_extract_all(t, {FENCE}, 2), lambda x: {STRIPPED.format('x')})), lambda x: x[2] <> '')"
 LANG_N = [f"len(list_distinct(regexp_extract_all(t, {quoted(p)}, 1)))" for _, p in P.LANGUAGES]
-HINTS = f"list_filter(list_transform(regexp_extract_all(t, {FENCE}, 1), lambda x: lower(x)), lambda x: x <> '')"
+HINTS = f"list_filter(list_transform({BLOCKS}, lambda x: x[1]), lambda x: x <> '')"
 BASE = "[" + ", ".join(f"{{'s': round(0.2::DOUBLE*{n},3), 'o': {-i}, 'n': '{name}'}}" for i, (n, (name, _)) in enumerate(zip(LANG_N, P.LANGUAGES, strict=True))) + "]"
 OWN = "CASE h " + " ".join(f"WHEN '{name}' THEN round(0.2::DOUBLE*{n},3)" for n, (name, _) in zip(LANG_N, P.LANGUAGES, strict=True)) + " ELSE 0.0::DOUBLE END"
-CODE = V + f"""k AS (SELECT *, {HINTS} AS hints, regexp_extract_all(t, {FENCE}, 2) AS fences, list_filter(regexp_extract_all(t, '`([^`]+)`', 1), lambda x: length(x)>10) AS inl FROM v),
+CODE = V + f"""k AS (SELECT *, {HINTS} AS hints, list_transform({BLOCKS}, lambda x: x[2]) AS fences, list_filter(list_transform(regexp_extract_all(t, '`([^`]+)`', 1), lambda x: {STRIPPED.format('x')}), lambda x: length(x)>10) AS inl FROM v),
 b AS (SELECT *, list_max(list_concat({BASE}, list_transform(list_distinct(hints), lambda h: {{'s': 0.3::DOUBLE*len(list_filter(hints, lambda x: x=h)) + {OWN}, 'o': 1, 'n': h}}))) AS best FROM k),
 c AS (SELECT *, round(least(1.0::DOUBLE, CASE WHEN len(fences)>0 THEN 0.4::DOUBLE ELSE 0 END + best.s + CASE WHEN len(regexp_extract_all(t, ';[\\s\\n]'))>=3 THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN len(regexp_extract_all(t, '\\{{[^}}]*\\}}'))>=2 THEN 0.1::DOUBLE ELSE 0 END), 3) AS confidence, least(10, len(fences)+len(inl)) AS n_snippets FROM b),
 d AS (SELECT *, confidence>=0.35 OR n_snippets>0 AS is_code FROM c) """
@@ -214,7 +218,7 @@ def q18_hmac_verify_tamper(spark, sf):
     return signed.groupBy("role").agg(total(ok).alias("valid"), total(~ok).alias("invalid"))
 
 
-@query("SELECT doc_id, sha256(text) AS sha, substr(md5(lower(trim(text))),1,12) AS key FROM documents")
+@query("SELECT doc_id, sha256(text) AS sha, substr(md5(lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))),1,12) AS key FROM documents")
 def q19_sha256_md5_keys(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), T.dedup_key(F.col("text")).alias("key"))
 
@@ -275,7 +279,7 @@ def q26_knn_top5(spark, sf):
     return R.nearest(base, base.where("vec_id % 20 = 0")).select("q", F.col("rank").cast("long").alias("rank"), "vec_id", "sim")
 
 
-@query("WITH u AS (SELECT 0 AS src, doc_id AS row, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark) SELECT substr(md5(lower(trim(text))),1,12) AS key, src, row FROM u WHERE trim(text)<>'' QUALIFY row_number() OVER (PARTITION BY substr(md5(lower(trim(text))),1,12) ORDER BY src, row)=1")
+@query("WITH u AS (SELECT 0 AS src, doc_id AS row, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark) SELECT substr(md5(lower(x)),1,12) AS key, src, row FROM (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS x FROM u) WHERE x<>'' QUALIFY row_number() OVER (PARTITION BY substr(md5(lower(x)),1,12) ORDER BY src, row)=1")
 def q27_dedup_first_wins(spark, sf):
     d = table(spark, sf, "documents").select(F.lit(0).alias("src"), F.col("doc_id").alias("row"), "text")
     b = table(spark, sf, "benchmark").select(F.lit(1).alias("src"), F.col("item_id").alias("row"), "text")
@@ -313,7 +317,7 @@ TWO = "WITH p AS (SELECT conv_id, coalesce(sum(length(text)) FILTER (role='user'
 def two_sides(spark, sf) -> DataFrame:
     n, user = F.length("text"), F.col("role") == "user"
     own = table(spark, sf, "conversations").groupBy("conv_id").agg(F.coalesce(F.sum(F.when(user, n)), F.lit(0)).alias("u"), F.coalesce(F.sum(F.when(~user, n)), F.lit(0)).alias("e"), total(~user).alias("k"), F.sum(F.floor(n / 4)).alias("tok"))
-    return own.withColumn("ratio", F.when(F.col("u") + F.col("e") == 0, F.lit(0.0)).when(F.col("e") == 0, F.lit(1.0)).otherwise(F.round(F.try_divide(F.col("u"), F.col("u") + F.col("e")), 3)))
+    return own.withColumn("ratio", T.ratio_of(F.col("u"), F.col("e")))
 
 
 @query(TWO + "SELECT conv_id, ratio::DOUBLE AS ratio FROM r")
@@ -341,7 +345,7 @@ def q35_context_assembly_order(spark, sf):
     return c.unionByName(d).groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(parts, "|")).alias("digest"))
 
 
-@query("SELECT coalesce(error,'ok') AS error, count(*) AS n FROM (SELECT CASE WHEN trim(coalesce(text,''))='' THEN 'empty prompt' WHEN length(text)>3000 THEN 'prompt too long' END AS error FROM documents) GROUP BY 1")
+@query("SELECT coalesce(error,'ok') AS error, count(*) AS n FROM (SELECT CASE WHEN regexp_replace(coalesce(text,''), '^\\s+|\\s+$', '', 'g')='' THEN 'empty prompt' WHEN length(text)>3000 THEN 'prompt too long' END AS error FROM documents) GROUP BY 1")
 def q36_validate_quarantine(spark, sf):
     error = R.validate_request(F.col("text"), 3000)
     return table(spark, sf, "documents").groupBy(F.coalesce(error, F.lit("ok")).alias("error")).agg(F.count(F.lit(1)).alias("n"))
@@ -369,12 +373,15 @@ def q39_retention_antifilter(spark, sf):
 
 @query(WITH + "SELECT lang, CAST(count(DISTINCT flag) AS BIGINT) AS signatures FROM (SELECT lang, unnest(flags) AS flag FROM z) GROUP BY lang")
 def q40_distinct_patterns(spark, sf):
-    return screened(spark, sf).select("lang", F.explode("flags").alias("flag")).groupBy("lang").agg(F.count_distinct("flag").alias("signatures"))
+    return screened(spark, sf).select("lang", F.explode_outer("flags").alias("flag")).where("flag is not null").groupBy("lang").agg(F.count_distinct("flag").alias("signatures"))
 
 
-@query("SELECT replace(lower(event_type),' ','_') AS policy, count(*) AS n FROM events GROUP BY 1")
+POLICY = "CASE event_id % 4 WHEN 0 THEN ' Hate Speech ' WHEN 1 THEN 'Economic Harm' WHEN 2 THEN ' Other Case ' ELSE event_type END"
+
+
+@query(f"SELECT CASE WHEN lower(trim(x)) IN ({', '.join(quoted(p) for p in P.POLICIES)}) THEN replace(lower(trim(x)),' ','_') ELSE replace(lower(x),' ','_') END AS policy, count(*) AS n FROM (SELECT {POLICY} AS x FROM events) GROUP BY 1")
 def q41_policy_map(spark, sf):
-    return table(spark, sf, "events").groupBy(T.policy(F.col("event_type")).alias("policy")).agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, sf, "events").groupBy(T.policy(F.expr(POLICY)).alias("policy")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("WITH a AS (SELECT conv_id, min(text) FILTER (turn=0) AS prompt, string_agg('- '||text, chr(10) ORDER BY turn) FILTER (turn>0) AS ext FROM conversations GROUP BY 1) SELECT conv_id, md5(CASE WHEN ext IS NULL THEN prompt ELSE coalesce(prompt||chr(10),'')||'Context:'||chr(10)||ext END) AS digest FROM a")
