@@ -101,7 +101,7 @@ def test_files_chunks_and_pdf_images(spark, tmp_path):
     assert {r.source for r in chunks.collect()} == {"a.txt", "b.md", "c.docx", "d.pdf"}
     assert {r.original_path.rsplit("/", 1)[1]: (r.chunk_count > 0, r.extraction_success) for r in about.collect()}["e.docx"] == (False, False)
     image = files.images_of_pdfs(spark, str(tmp_path)).collect()
-    assert [(r.index, bytes(r.content)) for r in image] == [(0, b"\xff\xd8jpeg\xff\xd9")]
+    assert [(r["index"], bytes(r.content)) for r in image] == [(0, b"\xff\xd8jpeg\xff\xd9")]
 
 
 def test_rules_of_files(spark, tmp_path):
