@@ -20,6 +20,7 @@ columns are ignored.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -38,6 +39,8 @@ END_ID = 2
 _ENCODERS: dict[tuple[str, str, bool], object] = {}
 #: Letters and spaces whose classes no version of Unicode has changed; for others only the tokenizer file's own library decides.
 _PLAIN = regex.compile(r"[\t-\r\x20-\x7e\xa0-ɏ]*")
+#: The faster library's patterns overflow its stack on white space of about a million characters; a run of this many goes to the other, which gives the same ids.
+_LONG_SPACE = re.compile(r"\s{1000}")
 
 
 class Encoder:
@@ -62,7 +65,7 @@ class Encoder:
         self.fast = tiktoken.Encoding("ranks", pat_str=split, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
-        if _PLAIN.fullmatch(text) and not any(m in text for m in self.marks):
+        if _PLAIN.fullmatch(text) and not _LONG_SPACE.search(text) and not any(m in text for m in self.marks):
             return np.array(self.fast.encode_ordinary(text), "<u4")
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4")
 

@@ -96,3 +96,16 @@ def test_registered_packing_has_the_ids_of_the_unmodified_tokenizer(spark, tmp_p
     assert ids[1] == [64, 220, 50256, 275, 2]
     got = {r.doc_id: (r.length, r.ids_crc32) for r in queries.op3_best_fit_packing(spark, str(tmp_path)).collect()}
     assert got == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in ids.items()}
+
+
+def test_very_long_white_space_and_words_are_encoded():
+    import time
+
+    from promptlens.llm import packing
+    from promptlens.llm.queries import tokenizer_file
+
+    encode = packing.encoder(tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken"), True)
+    for text in (" " * 2_000_000 + "a", "\n" * 2_000_000 + "a", "x" + " \n" * 1_000_000, "ab" * 200_000, "a" + " " * 999 + "b"):
+        began = time.time()
+        ids = encode(text)
+        assert encode.slow.decode(ids.tolist(), skip_special_tokens=False) == text and time.time() - began < 60
