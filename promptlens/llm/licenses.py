@@ -140,6 +140,9 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> Data
     spans = license_spans(table, templates).groupBy("key").agg(F.collect_set("label").alias("more"), F.max("cover").alias("cover"))
     rows = table.select("doc_id", "key", "n_words", "n_base", "first_word", "last_word", "base_labels")
     all_labels = F.array_sort(F.array_distinct(F.concat(F.filter(F.split("base_labels", ","), lambda x: x != ""), F.coalesce("more", F.array().cast("array<string>")))))
-    return rows.join(spans, "key", "left").select(
+    # Joined on a derived value, so that adaptive execution can split a text of very many copies.
+    spans = spans.withColumn("j", F.xxhash64("key")).withColumnRenamed("key", "of")
+    rows = rows.withColumn("j", F.xxhash64("key"))
+    return rows.join(spans, (rows["j"] == spans["j"]) & (rows["key"] == spans["of"]), "left").select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", F.array_join(all_labels, ",").alias("labels"), F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("cover", F.lit(0.0))).alias("score")
     )
