@@ -138,7 +138,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Rolling:
-    """Polynomial hashes of any substring of a byte array, by prefix sums modulo 2**64."""
+    """Polynomial hashes of any run of an array of whole numbers, by prefix sums modulo 2**64."""
 
     def __init__(self, data: np.ndarray, base: int = 0x9E3779B97F4A7C15):
         self.power, self.inverse = powers(base, len(data) + 1)
