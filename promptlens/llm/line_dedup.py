@@ -3,20 +3,23 @@
 A line's tokens are its distinct lower-cased words, as 60-bit hashes.  They are
 ordered by rarity; a line's prefix is the part of that order in which two
 lines of Jaccard similarity ``THRESHOLD`` must share a token.  Lines that share
-a prefix token and pass the length and positional filters are candidates, and
-the Jaccard similarity of whole lines is verified.  A line goes when an
-earlier line (by doc_id, then line number) is similar to it or has the same
-tokens.
-
-Rarity comes from the lines each word is in, over all lines.  The order only has to be one and the
-same everywhere, so the counts are kept as logarithms in a table of
-``2**BUCKET_BITS`` bytes whatever the size of the vocabulary; words of one
-bucket count together.  That table is what every task gets.
+a prefix token are candidates if they pass the length and positional filters
+and a bound from bitmaps: each bit in which the 128-bit maps of two lines'
+tokens differ comes from a token that only one of them has.  The Jaccard
+similarity of whole lines is then verified.  A line goes when an earlier line
+(by doc_id, then line number) is similar to it or has the same tokens.  Lines
+of the same tokens are one group throughout, so copies are never paired.
+
+Rarity comes from the distinct lines each word is in, over all lines.  The
+order only has to be one and the same everywhere, so the counts are kept as
+logarithms in a table of ``2**BUCKET_BITS`` bytes whatever the size of the
+vocabulary; words of one bucket count together.  That table is what every task
+gets.
 
 Defined cases: null text is empty; lines without words are always kept and
 count as lines; rows that share a doc_id are read as one document, a null
 doc_id comes last; lines at one place of rows that repeat are one line; other
-columns are ignored.
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,21 +31,34 @@ from promptlens.llm.common import stash, text_of
 
 THRESHOLD = 0.8
 BUCKET_BITS = 18
-#: Candidate lines up to this number are looked up by broadcast (36 bytes each), more by a shuffled join.
-BROADCAST_LINES = 500_000
 _BLOCK = 4096
 _LAST = 9223372036854775807
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """d (doc_id, null last), doc_id, line, hashes: the sorted distinct token hashes of every line."""
+    """d (doc_id, null last), doc_id, line, hashes (the sorted distinct token hashes), and two keys of them."""
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(text_of(), "\n")).alias("line", "text"))
-    return lines.select(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), "doc_id", "line", F.sort_array(F.array_distinct(_hashes(F.col("text")))).alias("hashes"))
+    own = lines.select(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), "doc_id", "line", F.sort_array(F.array_distinct(_hashes(F.col("text")))).alias("hashes"))
+    return own.select("*", F.xxhash64("hashes").alias("k1"), F.xxhash64(F.lit(7), "hashes").alias("k2"))
+
+
+#: What stands between words in a line of ASCII and the letters of STABLE_LETTERS alone, each as a blank.
+_BETWEEN = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
+_STABLE_LETTERS = r"\x00-\x7F\xC0-\xD6\xD8-\xF6\xF8-\x{24F}"
 
 
 def _hashes(text: Column) -> Column:
-    words = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
-    return F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << 60) - 1)))
+    low = F.lower(text)
+    plain = F.split(F.translate(low, _BETWEEN, " " * len(_BETWEEN)), " ")
+    words = F.when(F.rlike(low, F.lit(f"[^{_STABLE_LETTERS}]")), F.split(low, r"[^\p{L}\p{N}]+")).otherwise(plain)
+    return F.transform(F.array_remove(words, ""), lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << 60) - 1)))
+
+
+def _bitmap(hashes: Column, half: int) -> Column:
+    """One of the two words of a 128-bit map: the bits of the tokens that fall there."""
+    own = F.filter(hashes, lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(1)) == half)
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(own, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseOR(bit(h)))
 
 
 def word_table(lines: DataFrame, bits: int = BUCKET_BITS) -> bytes:
@@ -66,43 +82,37 @@ def _least_overlap(a: str, b: str, threshold: float) -> Column:
     return F.ceil((F.col(a) + F.col(b)) * F.lit(threshold / (1 + threshold)) - 1e-9)
 
 
-def similar_groups(groups: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): ids of verified similar groups of lines, a the earlier; groups has id, k1, k2, d, line, n, prefix."""
-    posted = groups.select("id", "d", "line", "n", F.posexplode("prefix").alias("at", "token"))
-    side = {x: posted.select(F.col("id").alias(x), F.struct("d", "line", "id").alias(f"p{x}"), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at{x}"), "token") for x in "ab"}
+def similar_groups(groups: DataFrame, table: bytes, bits: int, threshold: float) -> DataFrame:
+    """(a, b): ids of verified similar groups of lines, a the earlier; groups has id, d, line and hashes."""
+    n = F.size("hashes")
+    length = F.greatest(F.lit(1), n - F.ceil(n * F.lit(threshold) - 1e-9) + 1).cast("int")
+    prefix = F.slice(_rarest_first(F.col("hashes"), table, bits), F.lit(1), length)
+    posted = groups.select("id", "d", "line", n.alias("n"), _bitmap(F.col("hashes"), 0).alias("u"), _bitmap(F.col("hashes"), 1).alias("v"), F.posexplode(prefix).alias("at", "token"))
+    side = {x: posted.select("token", *[F.col(c).alias(f"{c}{x}") for c in ("id", "d", "line", "n", "u", "v", "at")]) for x in "ab"}
+    earlier = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("linea") < F.col("lineb")))
+    least = _least_overlap("na", "nb", threshold)
     room = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb"))
-    pairs = side["a"].join(side["b"], "token").where((F.col("pa") < F.col("pb")) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9) & (room >= _least_overlap("na", "nb", threshold)))
-    pairs = stash(pairs.select("a", "b").distinct(), "line-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    places = stash(groups.select("id", "d", "line", "k1", "k2").join(wanted, "id"), "line-places")
-    look = F.broadcast(places) if places.count() <= BROADCAST_LINES else places
-    at = lines.where(F.size("hashes") > 0).select("d", "line", *_keys(), "hashes")
-    sets = at.join(look, ["d", "line", "k1", "k2"]).groupBy("id").agg(F.first("hashes").alias("hashes"))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("tb")), "b")
+    apart = F.bit_count(F.col("ua").bitwiseXOR(F.col("ub"))) + F.bit_count(F.col("va").bitwiseXOR(F.col("vb")))
+    fits = earlier & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9) & (room >= least) & (F.col("na") + F.col("nb") - apart >= 2 * least)
+    pairs = stash(side["a"].join(side["b"], "token").where(fits).select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct(), "line-pairs")
+    sets = {x: groups.select(F.col("id").alias(x), F.col("hashes").alias(f"t{x}")) for x in "ab"}
+    both = pairs.join(sets["a"], "a").join(sets["b"], "b")
     both = both.select("a", "b", (F.size("ta") + F.size("tb")).alias("sizes"), F.size(F.array_intersect("ta", "tb")).alias("common"))
     return both.where(F.col("common") >= F.lit(threshold) * (F.col("sizes") - F.col("common")) - 1e-9).select("a", "b")
 
 
-def _keys() -> list[Column]:
-    return [F.xxhash64("hashes").alias("k1"), F.xxhash64(F.lit(7), "hashes").alias("k2")]
-
-
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, bits: int = BUCKET_BITS) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (sorted line numbers, from 0) of every document."""
     lines = stash(_lines(docs), "line-tokens")  # texts are cut into words once only
-    n = F.size("hashes")
-    length = F.greatest(F.lit(1), n - F.ceil(n * F.lit(threshold) - 1e-9) + 1).cast("int")
-    prefix = F.slice(_rarest_first(F.col("hashes"), word_table(lines, bits), bits), F.lit(1), length)
-    place = F.struct("d", "line")
-    found = lines.where(n > 0).select(*_keys(), n.alias("n"), prefix.alias("prefix"), place.alias("place"))
-    groups = found.groupBy("k1", "k2").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("places"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    groups = stash(groups.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "n", "places", "place.d", "place.line", "prefix"), "lines")
-    later = similar_groups(groups, lines, threshold).select(F.col("b").alias("id")).distinct().withColumn("similar", F.lit(True))
+    found = lines.where(F.size("hashes") > 0)
+    groups = found.groupBy("k1", "k2").agg(F.min(F.struct("d", "line")).alias("place"), F.count(F.lit(1)).alias("places"), F.first("hashes").alias("hashes"))
+    groups = stash(groups.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "places", "place.d", "place.line", "hashes"), "lines")
+    later = similar_groups(groups, word_table(groups, bits), bits, threshold).select(F.col("b").alias("id")).distinct().withColumn("similar", F.lit(True))
     flags = groups.select("id", "k1", "k2", "places", F.col("d").alias("d0"), F.col("line").alias("l0")).join(later, "id", "left").where("places > 1 or similar")
     # Joined on derived values, so that adaptive execution can split a hot line.
     flags = flags.select(F.bitwise_not("k1").alias("j1"), F.bitwise_not("k2").alias("j2"), "d0", "l0", F.coalesce("similar", F.lit(False)).alias("similar"))
-    k1, k2 = _keys()
-    own = lines.select("d", "doc_id", "line", F.when(n > 0, F.bitwise_not(k1)).alias("j1"), F.when(n > 0, F.bitwise_not(k2)).alias("j2"))
+    some = F.size("hashes") > 0
+    own = lines.select("d", "doc_id", "line", F.when(some, F.bitwise_not("k1")).alias("j1"), F.when(some, F.bitwise_not("k2")).alias("j2"))
     first = (F.col("d") == F.col("d0")) & (F.col("line") == F.col("l0"))
     gone = F.when(F.col("similar").isNotNull() & (F.col("similar") | ~first), F.col("line"))
     return own.join(flags, ["j1", "j2"], "left").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count(gone).alias("n_removed"), F.array_sort(F.collect_list(gone)).alias("removed"))
@@ -111,6 +121,8 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, bits: int = BUC
 def without_lines(docs: DataFrame, threshold: float = THRESHOLD, bits: int = BUCKET_BITS) -> DataFrame:
     """``docs`` with the removed lines cut out of ``text``."""
     gone = removed_lines(docs, threshold, bits).where("n_removed > 0").select(F.col("doc_id").alias("_d"), F.col("removed").alias("_r"))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("held"), "doc_id", "text")
     kept = F.array_join(F.expr("filter(split(text, '\n'), (x, i) -> not array_contains(_r, i))"), "\n")
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_d"]), "left")
-    return joined.withColumn("text", F.when(F.col("_r").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    joined = held.join(gone, held["doc_id"].eqNullSafe(gone["_d"]), "left")
+    cut = joined.withColumn("text", F.when(F.col("_r").isNull(), F.col("text")).otherwise(kept))
+    return cut.select(*[F.col("text") if c == "text" else F.col("held").getField(c).alias(c) for c in docs.columns])

@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from promptlens.llm import line_dedup
 
 DOCS = "doc_id long, text string, line int, k1 long, n int, removed string"
@@ -17,8 +18,9 @@ def plain(rows):
     return {i: (n, sorted(r)) for i, (n, r) in out.items()}
 
 
-def test_matches_brute_force(spark):
-    rng = random.Random(4)
+@pytest.mark.parametrize("seed", [4, 5, 6])
+def test_matches_brute_force(spark, seed):
+    rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(40)] + ["été", "the", "of"] * 5
     base = [[rng.choice(vocabulary) for _ in range(rng.randint(1, 25))] for _ in range(30)]
 
@@ -28,10 +30,19 @@ def test_matches_brute_force(spark):
             own[rng.randrange(len(own))] = f"x{rng.randint(0, 9)}"
         return rng.choice([" ", ", ", " - "]).join(own)
 
-    rows = [(i, "\n".join(line() for _ in range(rng.randint(1, 8)))) for i in range(40)] + [(90, None), (91, ""), (92, "\n\n"), (93, "A b\nb, a!\n"), (94, "long " * 50_000), (None, "A B")]
+    rows = [(i, "\n".join(line() for _ in range(rng.randint(1, 8)))) for i in range(40)] + [(90, None), (91, ""), (92, "\n\n"), (93, "A b\nb, a!\n"), (94, "long " * 50_000), (None, "A B"), (95, "a×b «ça» ÷ c\nA b ça c\n日本 語\u2026x")]
     df = spark.createDataFrame([(i, t, 0, 0, 0, "") for i, t in rows], DOCS)
     got = {r.doc_id: (r.n_lines, r.removed) for r in line_dedup.removed_lines(df, bits=12).collect()}
     assert got == plain(rows)
     kept = {r.doc_id: r.text for r in line_dedup.without_lines(df, bits=12).collect()}
     assert kept[93] == "A b\n" and kept[None] == "" and kept[90] is None
     assert line_dedup.removed_lines(df.limit(0), bits=12).count() == 0
+
+
+def test_ties_repeats_and_the_threshold_itself(spark):
+    words = [f"w{i}" for i in range(9)]
+    rows = [(1, " ".join(words)), (1, " ".join(words)), (2, " ".join([*words[:8], "x"])), (3, " ".join(words[:8])), (4, " ".join([*words, "y", "z"])), (5, " ".join(words[:4])), (6, " ".join(words[:5]))]
+    df = spark.createDataFrame([(i, t, 0, 0, 0, "") for i, t in rows], DOCS)
+    got = {r.doc_id: (r.n_lines, r.removed) for r in line_dedup.removed_lines(df, bits=12).collect()}
+    # 8 of 10 tokens, 8 of 9, 9 of 11, and 4 of 5, the threshold itself; the row that repeats is one line twice.
+    assert got == {1: (2, []), 2: (1, [0]), 3: (1, [0]), 4: (1, [0]), 5: (1, []), 6: (1, [0])}
