@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import itertools
+import re
 import shutil
 import tempfile
 import uuid
@@ -20,9 +21,11 @@ STEP_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder all executors see: ``spark.checkpoint.dir``; where that is unset a temporary one, but only if everything runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="promptlens-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         found = f"file://{found}"

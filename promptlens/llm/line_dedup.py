@@ -4,7 +4,7 @@ A line's tokens are its distinct lower-cased words, as 60-bit hashes.  They are
 ordered by rarity; a line's prefix is the part of that order in which two
 lines of Jaccard similarity ``THRESHOLD`` must share a token.  Lines that share
 a prefix token are candidates if they pass the length and positional filters
-and a bound from bitmaps: each bit in which the 128-bit maps of two lines'
+and a bound from bitmaps: each bit in which the 64-bit maps of two lines'
 tokens differ comes from a token that only one of them has.  The Jaccard
 similarity of whole lines is then verified.  A line goes when an earlier line
 (by doc_id, then line number) is similar to it or has the same tokens.  Lines
@@ -42,23 +42,21 @@ def _lines(docs: DataFrame) -> DataFrame:
     return own.select("*", F.xxhash64("hashes").alias("k1"), F.xxhash64(F.lit(7), "hashes").alias("k2"))
 
 
-#: What stands between words in a line of ASCII and the letters of STABLE_LETTERS alone, each as a blank.
-_BETWEEN = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
-_STABLE_LETTERS = r"\x00-\x7F\xC0-\xD6\xD8-\xF6\xF8-\x{24F}"
+#: ASCII that stands between words, after lower-casing, and the characters of which a line's words are found by it alone.
+_BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_STABLE = r"\x00-\x7F\xC0-\xD6\xD8-\xF6\xF8-\x{24F}"
 
 
 def _hashes(text: Column) -> Column:
     low = F.lower(text)
-    plain = F.split(F.translate(low, _BETWEEN, " " * len(_BETWEEN)), " ")
-    words = F.when(F.rlike(low, F.lit(f"[^{_STABLE_LETTERS}]")), F.split(low, r"[^\p{L}\p{N}]+")).otherwise(plain)
+    words = F.when(F.rlike(low, F.lit(f"[^{_STABLE}]")), F.split(low, r"[^\p{L}\p{N}]+")).otherwise(F.split(low, _BETWEEN))
     return F.transform(F.array_remove(words, ""), lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << 60) - 1)))
 
 
-def _bitmap(hashes: Column, half: int) -> Column:
-    """One of the two words of a 128-bit map: the bits of the tokens that fall there."""
-    own = F.filter(hashes, lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(1)) == half)
+def _bitmap(hashes: Column) -> Column:
+    """64 bits, of which each token sets one."""
     bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate(own, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseOR(bit(h)))
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseOR(bit(h)))
 
 
 def word_table(lines: DataFrame, bits: int = BUCKET_BITS) -> bytes:
@@ -78,8 +76,8 @@ def _rarest_first(hashes: Column, table: bytes, bits: int) -> Column:
     return F.sort_array(F.transform(hashes, lambda h: h.bitwiseAND(F.lit((1 << 58) - 1)).bitwiseOR(F.shiftleft(level(h).cast("long"), 58))))
 
 
-def _least_overlap(a: str, b: str, threshold: float) -> Column:
-    return F.ceil((F.col(a) + F.col(b)) * F.lit(threshold / (1 + threshold)) - 1e-9)
+def _least_overlap(a: Column, b: Column, threshold: float) -> Column:
+    return F.ceil((a + b) * F.lit(threshold / (1 + threshold)) - 1e-9)
 
 
 def similar_groups(groups: DataFrame, table: bytes, bits: int, threshold: float) -> DataFrame:
@@ -87,16 +85,19 @@ def similar_groups(groups: DataFrame, table: bytes, bits: int, threshold: float)
     n = F.size("hashes")
     length = F.greatest(F.lit(1), n - F.ceil(n * F.lit(threshold) - 1e-9) + 1).cast("int")
     prefix = F.slice(_rarest_first(F.col("hashes"), table, bits), F.lit(1), length)
-    posted = groups.select("id", "d", "line", n.alias("n"), _bitmap(F.col("hashes"), 0).alias("u"), _bitmap(F.col("hashes"), 1).alias("v"), F.posexplode(prefix).alias("at", "token"))
-    side = {x: posted.select("token", *[F.col(c).alias(f"{c}{x}") for c in ("id", "d", "line", "n", "u", "v", "at")]) for x in "ab"}
-    earlier = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("linea") < F.col("lineb")))
-    least = _least_overlap("na", "nb", threshold)
-    room = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb"))
-    apart = F.bit_count(F.col("ua").bitwiseXOR(F.col("ub"))) + F.bit_count(F.col("va").bitwiseXOR(F.col("vb")))
-    fits = earlier & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9) & (room >= least) & (F.col("na") + F.col("nb") - apart >= 2 * least)
-    pairs = stash(side["a"].join(side["b"], "token").where(fits).select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct(), "line-pairs")
-    sets = {x: groups.select(F.col("id").alias(x), F.col("hashes").alias(f"t{x}")) for x in "ab"}
-    both = pairs.join(sets["a"], "a").join(sets["b"], "b")
+    posted = groups.select("id", "d", "line", n.alias("n"), _bitmap(F.col("hashes")).alias("bits"), F.posexplode(prefix).alias("at", "token"))
+    # Both sides are one plan, names and all, so that their exchange is made once.
+    a, b = ((lambda c, x=x: F.col(f"{x}.{c}")) for x in "ab")
+    earlier = (a("d") < b("d")) | ((a("d") == b("d")) & (a("line") < b("line")))
+    least = _least_overlap(a("n"), b("n"), threshold)
+    room = F.least(a("n") - a("at"), b("n") - b("at"))
+    apart = F.bit_count(a("bits").bitwiseXOR(b("bits")))
+    fits = earlier & (F.least(a("n"), b("n")) >= F.lit(threshold) * F.greatest(a("n"), b("n")) - 1e-9) & (room >= least) & (a("n") + b("n") - apart >= 2 * least)
+    joined = posted.alias("a").join(posted.alias("b"), (a("token") == b("token")) & fits)
+    pairs = stash(joined.select(a("id").alias("a"), b("id").alias("b")).distinct(), "line-pairs")
+    sets = groups.select("id", "hashes")
+    both = pairs.join(sets.alias("x"), F.col("a") == F.col("x.id")).select("a", "b", F.col("x.hashes").alias("ta"))
+    both = both.join(sets.alias("y"), F.col("b") == F.col("y.id")).select("a", "b", "ta", F.col("y.hashes").alias("tb"))
     both = both.select("a", "b", (F.size("ta") + F.size("tb")).alias("sizes"), F.size(F.array_intersect("ta", "tb")).alias("common"))
     return both.where(F.col("common") >= F.lit(threshold) * (F.col("sizes") - F.col("common")) - 1e-9).select("a", "b")
 
