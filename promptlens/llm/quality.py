@@ -6,13 +6,14 @@ linear hinge-loss model is fitted by dual coordinate descent; a logistic curve
 on a part kept from the fit turns margins into probabilities.
 
 Only the fit uses a sample: at most ``PER_CLASS`` labelled rows of each class,
-the first in hash order of their ids, so it is a bounded broadcast and a
-bounded collect.  Scoring covers every row in one pass without a shuffle.
+the first in hash order of their ids, and of those as many as have
+``MOST_BYTES`` of features, so it is a bounded broadcast and a bounded collect.  Scoring covers every row in one pass without a shuffle.
 Labels, lang, source and doc_id never enter a score.
 
 Defined cases: null text is empty; an empty text has the score of the bias;
-null labels are not used; where one class has no label, every score is the
-other class's share, and 0.5 without any label; rows that repeat are scored
+null labels are not used; of several texts or labels of one id the least
+counts; where one class has no label, every score is (n + 1) / (n + 2) of the n
+rows of label 1, or 1 / (n + 2) if all have label 0, and 0.5 without any label; rows that repeat are scored
 each; a null doc_id counts as held out; other columns are ignored.
 """
 
@@ -22,12 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptlens.llm.common import bytes_view, steps, text_of
 
 PER_CLASS = 3_000
+#: Bytes of features that the fit gathers at most, half of them for each class.
+MOST_BYTES = 256 << 20
 BITS = 17
 #: Texts with fewer distinct n-grams count as having so many: few n-grams are weak evidence.
 SHORT = 400
@@ -142,12 +145,21 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
             own = [np.unique(features(data[a:b])).tobytes() for a, b in zip(at, at[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_quality"), pa.array(own, pa.binary())], ["_id", "_quality", "f"])
 
-    found = texts.mapInArrow(extract, "_id long, _quality int, f binary").dropDuplicates(["_id", "_quality"]).toArrow()
+    # Of several texts or labels of one id the least counts, whatever the order of rows; no row is larger than 4 bytes for each bucket.
+    kind = "_id long, _quality int, f binary"
+    found = texts.mapInArrow(extract, kind).groupBy("_id").agg(F.min(F.struct("_quality", "f")).alias("r")).select("_id", "r.*")
+    found = _bounded(found).toArrow()
     order = np.argsort(found.column("_id").to_numpy(), kind="stable")
     rows = [np.frombuffer(found.column("f")[int(i)].as_buffer(), np.int32) for i in order]
     return fit(rows, found.column("_quality").to_numpy()[order], total.get(1, 0) / max(sum(total.values()), 1))
 
 
+def _bounded(found: DataFrame, most: int = MOST_BYTES) -> DataFrame:
+    """Rows of each class, by the hash of their ids, as long as their features hold at most ``most`` bytes in all."""
+    order = Window.partitionBy("_quality").orderBy(F.xxhash64("_id"), "_id")
+    return found.withColumn("_sum", F.sum(F.octet_length("f").cast("long")).over(order)).where(F.col("_sum") <= most // 2).drop("_sum")
+
+
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with columns score and predicted."""
     held = docs.sparkSession.sparkContext.broadcast(model)
