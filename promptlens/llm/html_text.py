@@ -1,22 +1,25 @@
 """Main text of web pages from streaming parser events.
 
-The parser's events give a page's blocks with their text and tag counts and
-what encloses them.  Blocks of menus, headers, footers, sidebars, notices,
-adverts, forms, comments and code are marked by element, role and class
-words.  Each block's text-to-tag ratio is smoothed by a Gaussian along the
-page, and the blocks above a threshold from the smoothed ratios' spread form
-the content clusters.  A cluster selects its whole region - the ``article`` or
-``main`` that holds it - so short paragraphs of an article are kept; on a page
-without such an element the clustered blocks themselves are the text.
-
-One pass, no shuffle.  Defined cases: null and empty html, and pages without
-content, give an empty text; unclosed and misnested tags and cut pages are
-read as far as they go; rows that repeat are extracted each; other columns
-are ignored.
+The parser's events give a page's blocks, its lines, with their text and tag
+counts and what encloses them.  Blocks of menus, headers, footers, sidebars,
+notices, adverts, forms, comments and code are left out by element, role and
+class name (``named_out``).  Each block's text-to-tag ratio is smoothed by a
+Gaussian along the page, and the blocks above a threshold from the smoothed
+ratios' spread form the content clusters.  The clusters select regions: every
+outermost ``article`` or ``main`` of whose text they hold half or more (all, if
+they do of none); on a page without such elements the smallest container that holds at
+least ``SHARE`` of the clusters' text.  The text is that of all blocks of the
+selected regions, so short paragraphs and headings of an article are kept.
+
+One pass, no shuffle, time in proportion to the page.  Defined cases: null and
+empty html, and pages without content, give an empty text; unclosed and
+misnested tags and cut pages are read as far as they go; rows that repeat are
+extracted each; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -33,17 +36,40 @@ LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search f
 LEFT_OUT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments disqus respond replies share sharing social related recommended newsletter subscribe subscription signup popup modal overlay footer header masthead widget widgets toolbar pagination pager login search hidden".split()
 )
-KEPT_WORDS = frozenset("article body content main page post with has no wrapper container".split())
+#: Words of a class name that say nothing of what it holds, and those before a part that only is mentioned.
+GENERIC = frozenset("container wrapper wrap box block area section inner outer holder body list item items content unit slot row col column group zone top bottom left right".split())
+MENTIONING = frozenset("has no with without".split())
+#: What holds a title or byline of the article itself, and elements of running text, whose id says nothing.
+OWN_HEADS = frozenset("article post entry story chapter".split())
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dl dt dd td th tr table figcaption figure ul ol".split())
+CONTAINERS = frozenset("body section div td center".split())
+ALIKE = frozenset("li dd dt tr td th option".split())
 WIDTH = 1.0
+SHARE = 0.7
+
+
+def named_out(name: str) -> bool:
+    """Whether a class or id names a part that is left out: its last word that says anything does, unless it only mentions it."""
+    words = "".join(c if c.isalnum() else " " for c in name.lower()).split()
+    if not words or words[0] in MENTIONING:
+        return False
+    while words and (words[-1] in GENERIC or words[-1].isdigit()):
+        words.pop()
+    if not words or (words[-1] in ("header", "footer") and words[0] in OWN_HEADS and len(words) > 1):
+        return False
+    return words[-1] in LEFT_OUT_WORDS
 
 
 class Blocks(HTMLParser):
-    """Collects (text, tags, region) of each block; region numbers the enclosing article or main, -1 without one."""
+    """Collects (text, tags, region, container) of each block; region numbers the outermost article or main around it, container the nearest other one, -1 without any; ``above`` has each container's own."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []  # tag, left out, region
-        self.blocks: list[tuple[str, int, int]] = []
+        self.stack: list[tuple[str, bool, int, int]] = []  # tag, left out, region, container
+        self.wide: list[int] = []  # places in the stack of elements that are not inline
+        self.open: Counter[str] = Counter()
+        self.blocks: list[tuple[str, int, int, int]] = []
+        self.above: list[int] = []
         self.parts: list[str] = []
         self.tags = 0
         self.regions = 0
@@ -51,52 +77,65 @@ class Blocks(HTMLParser):
     def end_block(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.blocks.append((text, self.tags, self.stack[-1][2] if self.stack else -1))
+            self.blocks.append((text, self.tags, *(self.stack[-1][2:] if self.stack else (-1, -1))))
             self.tags = 0
         self.parts = []
 
+    def cut(self, place: int) -> None:
+        """Close all elements from a place of the stack on."""
+        while len(self.stack) > place:
+            self.open[self.stack.pop()[0]] -= 1
+        while self.wide and self.wide[-1] >= place:
+            self.wide.pop()
+
     @staticmethod
-    def left_out(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def left_out(tag: str, attrs: list[tuple[str, str | None]], region: int) -> bool:
         if tag in LEFT_OUT:
             return True
         own = {k: v or "" for k, v in attrs}
         if "hidden" in own or own.get("role", "").lower() in LEFT_OUT_ROLES or "display:none" in own.get("style", "").replace(" ", "").lower():
             return True
-        if tag in ("html", "body", "main"):
+        if tag in ("html", "body", "main") or (tag == "article" and region < 0):
             return False
-        words = set("".join(c if c.isalnum() else " " for c in f"{own.get('class', '')} {own.get('id', '')}".lower()).split())
-        return bool(words & LEFT_OUT_WORDS) and not (words & KEPT_WORDS and tag != "article")
+        names = own.get("class", "").split() + ([] if tag in RUNNING else own.get("id", "").split())
+        return any(map(named_out, names))
 
     def handle_starttag(self, tag, attrs):
-        self.tags += 1
         if tag not in INLINE:
             self.end_block()
-            for i in range(len(self.stack) - 1, -1, -1):  # a new block ends an open paragraph, an item the open item
-                if self.stack[i][0] == "p" or (tag == self.stack[i][0] and tag in ("li", "dd", "dt", "tr", "td", "th", "option")):
-                    del self.stack[i:]
-                    break
-                if self.stack[i][0] not in INLINE:
-                    break
+            if self.wide:  # a new block ends an open paragraph, an item the open item
+                last = self.stack[self.wide[-1]][0]
+                if last == "p" or (tag == last and tag in ALIKE):
+                    self.cut(self.wide[-1])
+        out, region, container = self.stack[-1][1:] if self.stack else (False, -1, -1)
+        gone = out or (tag not in VOID and self.left_out(tag, attrs, region))
+        self.tags += not gone
         if tag in VOID:
             return
-        out, region = (self.stack[-1][1], self.stack[-1][2]) if self.stack else (False, -1)
-        if tag in ("article", "main") and not out and region < 0:
+        if tag in ("article", "main") and not gone and region < 0:
             region, self.regions = self.regions, self.regions + 1
-        self.stack.append((tag, out or self.left_out(tag, attrs), region))
+        elif tag in CONTAINERS and not gone:
+            self.above.append(container)
+            container = len(self.above) - 1
+        if tag not in INLINE:
+            self.wide.append(len(self.stack))
+        self.stack.append((tag, gone, region, container))
+        self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
-        self.tags += 1
+        self.tags += not (self.stack and self.stack[-1][1])
         if tag not in INLINE:
             self.end_block()
 
     def handle_endtag(self, tag):
-        self.tags += 1
+        self.tags += not (self.stack and self.stack[-1][1])
         if tag not in INLINE:
             self.end_block()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
-                break
+        if self.open[tag] > 0:
+            place = len(self.stack) - 1
+            while self.stack[place][0] != tag:
+                place -= 1
+            self.cut(place)
 
     def handle_data(self, data):
         if not (self.stack and self.stack[-1][1]):
@@ -109,6 +148,20 @@ def smoothed(ratio: np.ndarray, width: float = WIDTH) -> np.ndarray:
     return np.convolve(np.pad(ratio, reach, mode="edge"), kernel / kernel.sum(), "valid")
 
 
+def smallest_holder(containers: np.ndarray, weight: np.ndarray, above: list[int], share: float = SHARE) -> np.ndarray:
+    """Which blocks are in the smallest container that holds ``share`` of the weight; a container is numbered after the one around it."""
+    mass = np.zeros(len(above) + 1)  # the last stands for the page
+    np.add.at(mass, containers, weight)
+    for c in range(len(above) - 1, -1, -1):
+        mass[above[c]] += mass[c]
+    holder = max((c for c in range(len(above)) if mass[c] >= share * mass[-1]), default=-1)
+    inside = np.zeros(len(above) + 1, bool)
+    inside[-1] = holder < 0
+    for c in range(len(above)):
+        inside[c] = c == holder or inside[above[c]]
+    return inside[containers]
+
+
 def main_text(html: str | None) -> str:
     parser = Blocks()
     parser.feed(html or "")
@@ -116,15 +169,18 @@ def main_text(html: str | None) -> str:
     parser.end_block()
     if not parser.blocks:
         return ""
-    texts, tags, regions = zip(*parser.blocks, strict=True)
-    ratio = smoothed(np.array([len(t) / max(1, n) for t, n in zip(texts, tags, strict=True)]))
+    texts, tags, regions, containers = zip(*parser.blocks, strict=True)
+    size = np.array([len(t) for t in texts])
+    ratio = smoothed(size / np.maximum(tags, 1))
     region = np.array(regions)
     cluster = ratio >= min(ratio.std(), ratio.max())
     inside = region >= 0
-    # A region counts when a cluster touches it; all of its blocks are the article's.
-    chosen = np.isin(region, np.unique(region[cluster & inside])) & inside
-    if not chosen.any():
-        chosen = inside if inside.any() else cluster
+    if inside.any():
+        held = np.bincount(region[inside], (size * cluster)[inside], parser.regions)
+        rich = inside & (held >= 0.5 * np.bincount(region[inside], size[inside], parser.regions))[region]
+        chosen = rich if rich.any() else inside
+    else:
+        chosen = smallest_holder(np.array(containers), size * cluster, parser.above)
     return " ".join(t for t, c in zip(texts, chosen, strict=True) if c)
 
 

@@ -80,3 +80,52 @@ def test_extract_keeps_rows(spark):
     got = sorted(tuple(r) for r in html_text.extract(p).collect() if r.page_id)
     assert got == [(1, "u", "Head & line First part A second one <x>. ok", 43)] * 2
     assert html_text.extract(p.limit(0)).count() == 0
+
+
+PROSE = "This is a paragraph of the article, long enough to stand out from what is around it on the page. "
+
+
+def test_parts_inside_an_article_are_named_by_their_last_word():
+    from promptlens.llm.html_text import main_text
+
+    leaks = '<div class="ad-container">buy</div><div class="cookie-wrapper">accept</div><div class="x comment-body">first!</div><div id="sidebar-content">links</div>'
+    kept = '<section class="login-required">members read this</section><p id="search">about search</p><div class="has-sidebar">wide</div><div class="article-header"><h1>Title</h1></div>'
+    page = f"<body><nav>menu</nav><article><p>{PROSE}</p>{leaks}{kept}</article><footer>end</footer></body>"
+    assert main_text(page) == f"{PROSE.strip()} members read this about search wide Title"
+    assert main_text(f'<div class="comment-body">first!</div><div><p>{PROSE * 3}</p><p>short</p></div>') == f"{(PROSE * 3).strip()} short"
+    assert main_text(f'<article class="social"><p>{PROSE}</p><article class="comment">no</article></article>') == PROSE.strip()
+
+
+def test_ratio_selects_among_regions():
+    from promptlens.llm.html_text import main_text
+
+    links = "".join(f'<div><a href="/{i}">go {i}</a></div>' for i in range(30))
+    assert main_text(f"<body><div>{links}</div><div><h2>Head</h2><p>{PROSE * 4}</p><p>So.</p><p>{PROSE * 5}</p></div><div>{links}</div></body>") == f"Head {(PROSE * 4).strip()} So. {(PROSE * 5).strip()}"
+    several = f"<article>{links}</article><article><p>{PROSE * 6}</p><p>{PROSE * 6}</p></article>"
+    assert main_text(several + links) == f"{(PROSE * 6).strip()} {(PROSE * 6).strip()}"
+
+
+def test_time_grows_with_the_page():
+    import time
+
+    from promptlens.llm.html_text import main_text
+
+    took = []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        assert main_text("<article>" + "<b>x" * n + "</i>" * n + "<br>" * n) == "x" * n
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 1
+
+
+def test_sample_is_bounded_in_bytes_and_repeated_ids_are_defined(spark):
+    from promptlens.llm import quality
+
+    rows = [(i, f"good words here {i} " * 20 if i % 2 else "zz xx " * 60 + str(i)) for i in range(40)]
+    docs = spark.createDataFrame([*rows, (1, "another text of one id")], "doc_id long, text string")
+    labels = spark.createDataFrame([*[(i, i % 2) for i in range(40)], (3, 0)], "doc_id long, quality int")
+    one, two = (quality.train(d, labels).weights for d in (docs, docs.orderBy("text")))
+    assert (one == two).all()
+    found = spark.createDataFrame([(i, i % 2, bytearray(b"x" * 100)) for i in range(20)], "_id long, _quality int, f binary")
+    kept = quality._bounded(found, 1000).collect()
+    assert sum(len(r.f) for r in kept) <= 1000 and {r._quality for r in kept} == {0, 1}
