@@ -68,24 +68,25 @@ def length_factor(count):
 
 def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
     """Weights and bias of the hinge-loss model; rows hold feature indices, ``scale`` the value of each feature, ``cost`` the upper bound of each row's dual variable."""
+    # Kept as weight times scale: a row's margin is a sum of these, and no row's values are held.
     rng = np.random.default_rng(7)
-    weights, bias, alpha = np.zeros(len(scale)), 0.0, np.zeros(len(rows))
-    value = [scale[r] * length_factor(len(r)) for r in rows]
-    norm = np.array([v @ v + 1 for v in value])
+    scaled, bias, alpha = np.zeros(len(scale)), 0.0, np.zeros(len(rows))
+    square, factor = scale * scale, [float(length_factor(len(r))) for r in rows]
+    norm = np.array([square[r].sum() * f * f + 1 for r, f in zip(rows, factor, strict=True)])
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(rows)):
-            gradient = y[i] * (weights[rows[i]] @ value[i] + bias) - 1
+            gradient = y[i] * (scaled[rows[i]].sum() * factor[i] + bias) - 1
             new = min(max(alpha[i] - gradient / norm[i], 0.0), cost[i])
             if new != alpha[i]:
                 step = (new - alpha[i]) * y[i]
-                weights[rows[i]] += step * value[i]
+                scaled[rows[i]] += step * factor[i] * square[rows[i]]
                 bias += step
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
         if moved < 1e-3:
             break
-    return weights * scale, bias
+    return scaled, bias
 
 
 def logistic(margin: np.ndarray, label: np.ndarray, share: float) -> tuple[float, float]:
@@ -151,7 +152,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     found = _bounded(found).toArrow()
     order = np.argsort(found.column("_id").to_numpy(), kind="stable")
     rows = [np.frombuffer(found.column("f")[int(i)].as_buffer(), np.int32) for i in order]
-    return fit(rows, found.column("_quality").to_numpy()[order], total.get(1, 0) / max(sum(total.values()), 1))
+    model = fit(rows, found.column("_quality").to_numpy()[order], total.get(1, 0) / max(sum(total.values()), 1))
+    del rows, found
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def _bounded(found: DataFrame, most: int = MOST_BYTES) -> DataFrame:

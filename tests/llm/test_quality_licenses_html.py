@@ -129,3 +129,24 @@ def test_sample_is_bounded_in_bytes_and_repeated_ids_are_defined(spark):
     found = spark.createDataFrame([(i, i % 2, bytearray(b"x" * 100)) for i in range(20)], "_id long, _quality int, f binary")
     kept = quality._bounded(found, 1000).collect()
     assert sum(len(r.f) for r in kept) <= 1000 and {r._quality for r in kept} == {0, 1}
+
+
+def test_fit_matches_a_plain_dual_coordinate_descent():
+    from promptlens.llm import quality
+
+    rng = np.random.default_rng(5)
+    rows = [np.unique(rng.integers(0, 60, 20)) + (20 if i % 2 else 0) for i in range(30)]
+    y, scale, cost = np.where(np.arange(30) % 2, 1.0, -1.0), rng.normal(size=100), np.full(30, 2.0)
+    weights, bias = quality.dual_coordinate_descent(rows, y, scale, cost)
+    x = np.zeros((30, 101))
+    for i, r in enumerate(rows):
+        x[i, r], x[i, 100] = scale[r] / np.sqrt(max(len(r), quality.SHORT)), 1.0
+    order, w, alpha = np.random.default_rng(7), np.zeros(101), np.zeros(30)
+    for _ in range(quality.EPOCHS):
+        moved = 0.0
+        for i in order.permutation(30):
+            new = min(max(alpha[i] - (y[i] * (x[i] @ w) - 1) / (x[i] @ x[i]), 0), cost[i])
+            moved, w, alpha[i] = max(moved, abs(new - alpha[i])), w + (new - alpha[i]) * y[i] * x[i], new
+        if moved < 1e-3:
+            break
+    assert weights == pytest.approx(w[:100] * scale) and bias == pytest.approx(w[100])
