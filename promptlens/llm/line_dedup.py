@@ -1,20 +1,27 @@
-"""Line deduplication as an exact set-similarity join, in DataFrame functions only.
+"""Line deduplication as an exact set-similarity join.
 
-A line's tokens are its distinct lower-cased words, as 60-bit hashes.  They are
+A line's tokens are its distinct lower-cased words, as 59-bit hashes.  They are
 ordered by rarity; a line's prefix is the part of that order in which two
 lines of Jaccard similarity ``THRESHOLD`` must share a token.  Lines that share
 a prefix token are candidates if they pass the length and positional filters
-and a bound from bitmaps: each bit in which the 64-bit maps of two lines'
-tokens differ comes from a token that only one of them has.  The Jaccard
-similarity of whole lines is then verified.  A line goes when an earlier line
-(by doc_id, then line number) is similar to it or has the same tokens.  Lines
-of the same tokens are one group throughout, so copies are never paired.
-
-Rarity comes from the distinct lines each word is in, over all lines.  The
-order only has to be one and the same everywhere, so the counts are kept as
-logarithms in a table of ``2**BUCKET_BITS`` bytes whatever the size of the
-vocabulary; words of one bucket count together.  That table is what every task
-gets.
+and a bound from parity maps: a token flips one of 64 bits, so each bit in
+which two lines' maps differ comes from a token that only one of them has.  The
+Jaccard similarity of the whole lines is then verified: a pair's union is the
+tokens of both texts put together.  A line goes when an earlier line (by
+doc_id, then line number) is similar to it or has the same tokens.  Lines of
+the same tokens are one group throughout, so copies are never paired.
+
+One earlier similar line is enough for a line to go.  So each line is first
+compared with the earliest line that shares tokens next to each other in its
+prefix; only lines that this leaves take part in the join as later lines.  A
+large group of near copies thus costs a pair a line and not its square, and no
+line is judged on fewer candidates.
+
+Words are cut and hashed over arrays in Python workers; grouping and joining
+are DataFrame operations.  Rarity comes from all lines.  The order only has to
+be one and the same everywhere, so the counts are kept as logarithms in a table
+of ``2**BUCKET_BITS`` bytes whatever the size of the vocabulary; words of one
+bucket count together.  That table is what every task gets.
 
 Defined cases: null text is empty; lines without words are always kept and
 count as lines; rows that share a doc_id are read as one document, a null
@@ -24,95 +31,162 @@ columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promptlens.llm.common import stash, text_of
+from promptlens.llm.common import Rolling, mix, stash, steps, text_of
 
 THRESHOLD = 0.8
 BUCKET_BITS = 18
-_BLOCK = 4096
 _LAST = 9223372036854775807
+_HASH = np.uint64((1 << 59) - 1)  # the level stands in the five bits above
+_OTHER = np.uint64(0xA24BAED4963EE407)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """d (doc_id, null last), doc_id, line, hashes (the sorted distinct token hashes), and two keys of them."""
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(text_of(), "\n")).alias("line", "text"))
-    own = lines.select(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), "doc_id", "line", F.sort_array(F.array_distinct(_hashes(F.col("text")))).alias("hashes"))
-    return own.select("*", F.xxhash64("hashes").alias("k1"), F.xxhash64(F.lit(7), "hashes").alias("k2"))
+@cache
+def _is_word() -> np.ndarray:
+    """Of each code point: is it a letter or a number?"""
+    return np.fromiter((chr(i).isalnum() for i in range(0x110000)), bool, 0x110000)
+
 
+def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of every lower-cased word; a row has no line feeds."""
+    low = "\n".join(x or "" for x in column.to_pylist()).lower()
+    points = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = np.zeros(len(points) + 2, bool)
+    inside[1:-1] = _is_word()[points]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edges[0::2], edges[1::2]
+    row = np.searchsorted(np.flatnonzero(points == 10), start)
+    return Rolling(points).between(start, end) & _HASH, row
 
-#: ASCII that stands between words, after lower-casing, and the characters of which a line's words are found by it alone.
-_BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_STABLE = r"\x00-\x7F\xC0-\xD6\xD8-\xF6\xF8-\x{24F}"
+
+def _sets(column: pa.Array, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row) of the distinct words, by row and then key: level and hash."""
+    key, row = _words(column)
+    key |= level[(key & np.uint64(len(level) - 1)).astype(np.int64)] << np.uint64(59)
+    order = np.argsort(key)
+    small = row.astype(np.uint16 if len(column) < 1 << 16 else np.int64)
+    order = order[np.argsort(small[order], kind="stable")]
+    key, row = key[order], row[order]
+    keep = np.ones(len(key), bool)
+    keep[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+    return key[keep], row[keep]
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """d (doc_id, null last), doc_id, line, text, and x, which tells texts at one place apart."""
+    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(text_of(), "\n")).alias("line", "text"))
+    return lines.select(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), "doc_id", "line", "text", F.xxhash64("text").alias("x"))
 
 
-def _hashes(text: Column) -> Column:
-    low = F.lower(text)
-    words = F.when(F.rlike(low, F.lit(f"[^{_STABLE}]")), F.split(low, r"[^\p{L}\p{N}]+")).otherwise(F.split(low, _BETWEEN))
-    return F.transform(F.array_remove(words, ""), lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << 60) - 1)))
+def word_table(lines: DataFrame, bits: int = BUCKET_BITS) -> np.ndarray:
+    """Entry b: the base-2 logarithm of how often the words of bucket b occur."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << bits, np.int64)
+        for batch in steps(batches, "text"):
+            n += np.bincount((_words(batch.column("text"))[0] & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["b", "n"])
 
-def _bitmap(hashes: Column) -> Column:
-    """64 bits, of which each token sets one."""
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate(hashes, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseOR(bit(h)))
+    counts = lines.select("text").mapInArrow(count, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()  # 2**bits rows at most
+    level = np.zeros(1 << bits, np.uint64)
+    level[counts["b"].to_numpy()] = np.minimum(np.log2(counts["n"].to_numpy()), 31).astype(np.uint64)
+    return level
 
 
-def word_table(lines: DataFrame, bits: int = BUCKET_BITS) -> bytes:
-    """Byte b: the base-2 logarithm of how many lines the words of bucket b occur in, counted for each word."""
-    counts = lines.select(F.explode("hashes").alias("h")).groupBy(F.col("h").bitwiseAND(F.lit((1 << bits) - 1)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    level = F.chr(F.lit(97) + F.least(F.floor(F.log2("n")), F.lit(25)))
-    every = lines.sparkSession.range(1 << bits).withColumnRenamed("id", "b").join(counts, "b", "left")
-    leveled = every.select(F.floor(F.col("b") / _BLOCK).alias("block"), F.struct("b", F.coalesce(level, F.lit("a")).alias("c")).alias("x"))
-    rows = leveled.groupBy("block").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["c"]), "").alias("s")).orderBy("block").collect()
-    return "".join(r["s"] for r in rows).encode()
+def described(lines: DataFrame, level: np.ndarray, threshold: float) -> DataFrame:
+    """Lines with n (distinct words), two keys of them, their parity map, and the tokens of the prefix (32 bits of each)."""
 
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, "text"):
+            key, row = _sets(batch.column("text"), level)
+            n = np.bincount(row, minlength=batch.num_rows)
+            first = np.concatenate([[0], np.cumsum(n)])
+            one, two = mix(key & _HASH), mix((key & _HASH) ^ _OTHER)
+            total = lambda v: np.diff(np.concatenate([np.zeros(1, np.uint64), np.cumsum(v, dtype=np.uint64)])[first])
+            parity = np.zeros(batch.num_rows, np.uint64)
+            if len(key):
+                parity[n > 0] = np.bitwise_xor.reduceat(np.uint64(1) << (two >> np.uint64(58)), first[:-1][n > 0])
+            length = np.where(n > 0, np.maximum(1, n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1), 0)
+            taken = np.arange(len(key)) - first[row] < length[row]
+            tokens = (key[taken] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(tokens))
+            longs = [pa.array(v.view(np.int64)) for v in (total(one), total(two), parity)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("d", "doc_id", "line", "x")], pa.array(n.astype(np.int32)), *longs, prefix], ["d", "doc_id", "line", "x", "n", "k1", "k2", "bits", "prefix"])
 
-def _rarest_first(hashes: Column, table: bytes, bits: int) -> Column:
-    """The level stands in the top bits of each token."""
-    held = F.lit(table)
-    level = lambda h: F.ascii(F.substring(held, (h.bitwiseAND(F.lit((1 << bits) - 1)) + 1).cast("int"), F.lit(1)).cast("string")) - 97
-    return F.sort_array(F.transform(hashes, lambda h: h.bitwiseAND(F.lit((1 << 58) - 1)).bitwiseOR(F.shiftleft(level(h).cast("long"), 58))))
+    return lines.mapInArrow(describe, "d long, doc_id long, line int, x long, n int, k1 long, k2 long, bits long, prefix array<int>")
 
 
 def _least_overlap(a: Column, b: Column, threshold: float) -> Column:
     return F.ceil((a + b) * F.lit(threshold / (1 + threshold)) - 1e-9)
 
 
-def similar_groups(groups: DataFrame, table: bytes, bits: int, threshold: float) -> DataFrame:
-    """(a, b): ids of verified similar groups of lines, a the earlier; groups has id, d, line and hashes."""
-    n = F.size("hashes")
-    length = F.greatest(F.lit(1), n - F.ceil(n * F.lit(threshold) - 1e-9) + 1).cast("int")
-    prefix = F.slice(_rarest_first(F.col("hashes"), table, bits), F.lit(1), length)
-    posted = groups.select("id", "d", "line", n.alias("n"), _bitmap(F.col("hashes")).alias("bits"), F.posexplode(prefix).alias("at", "token"))
-    # Both sides are one plan, names and all, so that their exchange is made once.
-    a, b = ((lambda c, x=x: F.col(f"{x}.{c}")) for x in "ab")
+def _fits(a, b, threshold: float) -> Column:
+    """a and b, functions from a name to a column, are earlier and later and may be similar by length and parity."""
     earlier = (a("d") < b("d")) | ((a("d") == b("d")) & (a("line") < b("line")))
-    least = _least_overlap(a("n"), b("n"), threshold)
-    room = F.least(a("n") - a("at"), b("n") - b("at"))
     apart = F.bit_count(a("bits").bitwiseXOR(b("bits")))
-    fits = earlier & (F.least(a("n"), b("n")) >= F.lit(threshold) * F.greatest(a("n"), b("n")) - 1e-9) & (room >= least) & (a("n") + b("n") - apart >= 2 * least)
-    joined = posted.alias("a").join(posted.alias("b"), (a("token") == b("token")) & fits)
+    return earlier & (F.least(a("n"), b("n")) >= F.lit(threshold) * F.greatest(a("n"), b("n")) - 1e-9) & (a("n") + b("n") - apart >= 2 * _least_overlap(a("n"), b("n"), threshold))
+
+
+def _verified(pairs: DataFrame, groups: DataFrame, lines: DataFrame, threshold: float, tag: str) -> DataFrame:
+    """id of each b of the pairs (a, b) whose lines are similar."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    places = groups.select("id", "d", "line", "x", "n").join(wanted, "id", "left_semi")
+    texts = stash(lines.select("d", "line", "x", "text").dropDuplicates(["d", "line", "x"]).join(places, ["d", "line", "x"]).select("id", "n", "text"), f"{tag}-texts")
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("text").alias("ta")), "a")
+    both = both.join(texts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("text").alias("tb")), "b")
+    both = both.select("b", (F.col("na") + F.col("nb")).alias("sizes"), F.concat("ta", F.lit(" "), "tb").alias("text"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, "text"):
+            union = np.bincount(_sets(batch.column("text"), np.zeros(1, np.uint64))[1], minlength=batch.num_rows)
+            similar = batch.column("sizes").to_numpy() - union >= threshold * union - 1e-9
+            yield pa.RecordBatch.from_arrays([batch.column("b").filter(pa.array(similar))], ["id"])
+
+    return stash(both.mapInArrow(verify, "id long").distinct(), f"{tag}-similar")
+
+
+def similar_groups(groups: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """id of each group of lines that is similar to an earlier one."""
+    own = ("id", "d", "line", "n", "bits")
+    neighbours = F.array_compact(F.array(F.xxhash64(F.slice("prefix", 1, 2)), F.when(F.size("prefix") > 2, F.xxhash64(F.slice("prefix", 3, 2)))))
+    keyed = groups.select(*own, F.explode(neighbours).alias("key"))
+    # Joined on a derived value, so that adaptive execution can split a hot key.
+    leaders = keyed.groupBy("key").agg(F.min(F.struct("d", "line", "id", "n", "bits")).alias("o")).select(F.bitwise_not("key").alias("j"), "o.*")
+    later = keyed.withColumn("j", F.bitwise_not("key"))
+    a, b = ((lambda c, x=x: F.col(f"{x}.{c}")) for x in "ab")
+    pairs = leaders.alias("a").join(later.alias("b"), (a("j") == b("j")) & _fits(a, b, threshold))
+    pairs = stash(pairs.select(a("id").alias("a"), b("id").alias("b")).distinct(), "line-leaders")
+    gone = _verified(pairs, groups, lines, threshold, "line-leaders")
+
+    left = groups.join(gone.withColumn("similar", F.lit(True)), "id", "left")
+    posted = left.select(*own, F.col("similar").isNull().alias("open"), F.posexplode("prefix").alias("at", "token"))
+    # Both sides are one plan, names and all, so that their exchange is made once.
+    room = F.least(a("n") - a("at"), b("n") - b("at"))
+    joined = posted.alias("a").join(posted.alias("b"), (a("token") == b("token")) & b("open") & _fits(a, b, threshold) & (room >= _least_overlap(a("n"), b("n"), threshold)))
     pairs = stash(joined.select(a("id").alias("a"), b("id").alias("b")).distinct(), "line-pairs")
-    sets = groups.select("id", "hashes")
-    both = pairs.join(sets.alias("x"), F.col("a") == F.col("x.id")).select("a", "b", F.col("x.hashes").alias("ta"))
-    both = both.join(sets.alias("y"), F.col("b") == F.col("y.id")).select("a", "b", "ta", F.col("y.hashes").alias("tb"))
-    both = both.select("a", "b", (F.size("ta") + F.size("tb")).alias("sizes"), F.size(F.array_intersect("ta", "tb")).alias("common"))
-    return both.where(F.col("common") >= F.lit(threshold) * (F.col("sizes") - F.col("common")) - 1e-9).select("a", "b")
+    return gone.union(_verified(pairs, groups, lines, threshold, "line-pairs"))
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, bits: int = BUCKET_BITS) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (sorted line numbers, from 0) of every document."""
-    lines = stash(_lines(docs), "line-tokens")  # texts are cut into words once only
-    found = lines.where(F.size("hashes") > 0)
-    groups = found.groupBy("k1", "k2").agg(F.min(F.struct("d", "line")).alias("place"), F.count(F.lit(1)).alias("places"), F.first("hashes").alias("hashes"))
-    groups = stash(groups.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "places", "place.d", "place.line", "hashes"), "lines")
-    later = similar_groups(groups, word_table(groups, bits), bits, threshold).select(F.col("b").alias("id")).distinct().withColumn("similar", F.lit(True))
+    texts = _lines(docs)
+    lines = stash(described(texts, word_table(texts, bits), threshold), "lines")
+    found = lines.where("n > 0")
+    groups = found.groupBy("k1", "k2").agg(F.min(F.struct("d", "line", "x", "n", "bits", "prefix")).alias("o"), F.count(F.lit(1)).alias("places"))
+    groups = stash(groups.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "places", "o.*"), "line-groups")
+    later = similar_groups(groups, texts, threshold).withColumn("similar", F.lit(True))
     flags = groups.select("id", "k1", "k2", "places", F.col("d").alias("d0"), F.col("line").alias("l0")).join(later, "id", "left").where("places > 1 or similar")
     # Joined on derived values, so that adaptive execution can split a hot line.
     flags = flags.select(F.bitwise_not("k1").alias("j1"), F.bitwise_not("k2").alias("j2"), "d0", "l0", F.coalesce("similar", F.lit(False)).alias("similar"))
-    some = F.size("hashes") > 0
+    some = F.col("n") > 0
     own = lines.select("d", "doc_id", "line", F.when(some, F.bitwise_not("k1")).alias("j1"), F.when(some, F.bitwise_not("k2")).alias("j2"))
     first = (F.col("d") == F.col("d0")) & (F.col("line") == F.col("l0"))
     gone = F.when(F.col("similar").isNotNull() & (F.col("similar") | ~first), F.col("line"))
