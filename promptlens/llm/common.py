@@ -42,7 +42,15 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stash_path = path
+    return out
+
+
+def unstash(df: DataFrame) -> None:
+    """Delete a stashed table that nothing reads any more: what was made of it is stashed itself."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stash_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_of(column: str = "text"):

@@ -12,10 +12,10 @@ doc_id, then line number) is similar to it or has the same tokens.  Lines of
 the same tokens are one group throughout, so copies are never paired.
 
 One earlier similar line is enough for a line to go.  So each line is first
-compared with the earliest line that shares tokens next to each other in its
-prefix; only lines that this leaves take part in the join as later lines.  A
-large group of near copies thus costs a pair a line and not its square, and no
-line is judged on fewer candidates.
+compared with the earliest lines that share two MinHash values with it; only
+lines that this leaves take part in the join as later lines.  A large group of
+near copies thus costs some pairs a line and, but for the few lines left, not
+its square; no line stays without the join.
 
 Words are cut and hashed over arrays in Python workers; grouping and joining
 are DataFrame operations.  Rarity comes from all lines.  The order only has to
@@ -39,13 +39,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promptlens.llm.common import Rolling, mix, stash, steps, text_of
+from promptlens.llm.common import Rolling, mix, stash, steps, text_of, unstash
 
 THRESHOLD = 0.8
 BUCKET_BITS = 18
 _LAST = 9223372036854775807
 _HASH = np.uint64((1 << 59) - 1)  # the level stands in the five bits above
 _OTHER = np.uint64(0xA24BAED4963EE407)
+#: Odd factors, each of which gives a MinHash; two values make a band.
+_FACTORS = [np.uint64(pow(0x9E3779B97F4A7C15, i, 1 << 64)) for i in range(1, 7)]
 
 
 @cache
@@ -55,7 +57,7 @@ def _is_word() -> np.ndarray:
 
 
 def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of every lower-cased word; a row has no line feeds."""
+    """(hash, row) of every lower-cased word; rows are counted by line feeds."""
     low = "\n".join(x or "" for x in column.to_pylist()).lower()
     points = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
     inside = np.zeros(len(points) + 2, bool)
@@ -85,7 +87,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     return lines.select(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), "doc_id", "line", "text", F.xxhash64("text").alias("x"))
 
 
-def word_table(lines: DataFrame, bits: int = BUCKET_BITS) -> np.ndarray:
+def word_table(docs: DataFrame, bits: int = BUCKET_BITS) -> np.ndarray:
     """Entry b: the base-2 logarithm of how often the words of bucket b occur."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,14 +97,14 @@ def word_table(lines: DataFrame, bits: int = BUCKET_BITS) -> np.ndarray:
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["b", "n"])
 
-    counts = lines.select("text").mapInArrow(count, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()  # 2**bits rows at most
+    counts = docs.select(text_of().alias("text")).mapInArrow(count, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()  # 2**bits rows at most
     level = np.zeros(1 << bits, np.uint64)
     level[counts["b"].to_numpy()] = np.minimum(np.log2(counts["n"].to_numpy()), 31).astype(np.uint64)
     return level
 
 
 def described(lines: DataFrame, level: np.ndarray, threshold: float) -> DataFrame:
-    """Lines with n (distinct words), two keys of them, their parity map, and the tokens of the prefix (32 bits of each)."""
+    """Lines with n (distinct words), two keys of them, their parity map, the tokens of the prefix (32 bits of each) and the bands (32 bits of each)."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
@@ -111,17 +113,19 @@ def described(lines: DataFrame, level: np.ndarray, threshold: float) -> DataFram
             first = np.concatenate([[0], np.cumsum(n)])
             one, two = mix(key & _HASH), mix((key & _HASH) ^ _OTHER)
             total = lambda v: np.diff(np.concatenate([np.zeros(1, np.uint64), np.cumsum(v, dtype=np.uint64)])[first])
-            parity = np.zeros(batch.num_rows, np.uint64)
+            parity, bands = np.zeros(batch.num_rows, np.uint64), np.zeros((0, 3), np.uint64)
             if len(key):
-                parity[n > 0] = np.bitwise_xor.reduceat(np.uint64(1) << (two >> np.uint64(58)), first[:-1][n > 0])
+                starts = first[:-1][n > 0]
+                parity[n > 0] = np.bitwise_xor.reduceat(np.uint64(1) << (two >> np.uint64(58)), starts)
+                least = [np.minimum.reduceat(one * f, starts) for f in _FACTORS]
+                bands = np.stack([mix(least[i] * _OTHER + least[i + 1] + np.uint64(i)) for i in (0, 2, 4)], axis=1)
             length = np.where(n > 0, np.maximum(1, n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1), 0)
             taken = np.arange(len(key)) - first[row] < length[row]
-            tokens = (key[taken] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(tokens))
+            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(v.astype(np.uint32).view(np.int32))) for size, v in ((length, key[taken]), (3 * (n > 0), bands.ravel()))]
             longs = [pa.array(v.view(np.int64)) for v in (total(one), total(two), parity)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("d", "doc_id", "line", "x")], pa.array(n.astype(np.int32)), *longs, prefix], ["d", "doc_id", "line", "x", "n", "k1", "k2", "bits", "prefix"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("d", "doc_id", "line", "x")], pa.array(n.astype(np.int32)), *longs, *lists], ["d", "doc_id", "line", "x", "n", "k1", "k2", "bits", "prefix", "bands"])
 
-    return lines.mapInArrow(describe, "d long, doc_id long, line int, x long, n int, k1 long, k2 long, bits long, prefix array<int>")
+    return lines.mapInArrow(describe, "d long, doc_id long, line int, x long, n int, k1 long, k2 long, bits long, prefix array<int>, bands array<int>")
 
 
 def _least_overlap(a: Column, b: Column, threshold: float) -> Column:
@@ -139,7 +143,7 @@ def _verified(pairs: DataFrame, groups: DataFrame, lines: DataFrame, threshold:
     """id of each b of the pairs (a, b) whose lines are similar."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     places = groups.select("id", "d", "line", "x", "n").join(wanted, "id", "left_semi")
-    texts = stash(lines.select("d", "line", "x", "text").dropDuplicates(["d", "line", "x"]).join(places, ["d", "line", "x"]).select("id", "n", "text"), f"{tag}-texts")
+    texts = stash(lines.select("d", "line", "x", "text").join(places, ["d", "line", "x"]).select("id", "n", "text").dropDuplicates(["id"]), f"{tag}-texts")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("text").alias("ta")), "a")
     both = both.join(texts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("text").alias("tb")), "b")
     both = both.select("b", (F.col("na") + F.col("nb")).alias("sizes"), F.concat("ta", F.lit(" "), "tb").alias("text"))
@@ -150,14 +154,15 @@ def _verified(pairs: DataFrame, groups: DataFrame, lines: DataFrame, threshold:
             similar = batch.column("sizes").to_numpy() - union >= threshold * union - 1e-9
             yield pa.RecordBatch.from_arrays([batch.column("b").filter(pa.array(similar))], ["id"])
 
-    return stash(both.mapInArrow(verify, "id long").distinct(), f"{tag}-similar")
+    similar = stash(both.mapInArrow(verify, "id long").distinct(), f"{tag}-similar")
+    unstash(texts)
+    return similar
 
 
 def similar_groups(groups: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     """id of each group of lines that is similar to an earlier one."""
     own = ("id", "d", "line", "n", "bits")
-    neighbours = F.array_compact(F.array(F.xxhash64(F.slice("prefix", 1, 2)), F.when(F.size("prefix") > 2, F.xxhash64(F.slice("prefix", 3, 2)))))
-    keyed = groups.select(*own, F.explode(neighbours).alias("key"))
+    keyed = groups.select(*own, F.explode("bands").alias("key"))
     # Joined on a derived value, so that adaptive execution can split a hot key.
     leaders = keyed.groupBy("key").agg(F.min(F.struct("d", "line", "id", "n", "bits")).alias("o")).select(F.bitwise_not("key").alias("j"), "o.*")
     later = keyed.withColumn("j", F.bitwise_not("key"))
@@ -178,9 +183,9 @@ def similar_groups(groups: DataFrame, lines: DataFrame, threshold: float) -> Dat
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, bits: int = BUCKET_BITS) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (sorted line numbers, from 0) of every document."""
     texts = _lines(docs)
-    lines = stash(described(texts, word_table(texts, bits), threshold), "lines")
+    lines = stash(described(texts, word_table(docs, bits), threshold), "lines")
     found = lines.where("n > 0")
-    groups = found.groupBy("k1", "k2").agg(F.min(F.struct("d", "line", "x", "n", "bits", "prefix")).alias("o"), F.count(F.lit(1)).alias("places"))
+    groups = found.groupBy("k1", "k2").agg(F.min(F.struct("d", "line", "x", "n", "bits", "prefix", "bands")).alias("o"), F.count(F.lit(1)).alias("places"))
     groups = stash(groups.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "places", "o.*"), "line-groups")
     later = similar_groups(groups, texts, threshold).withColumn("similar", F.lit(True))
     flags = groups.select("id", "k1", "k2", "places", F.col("d").alias("d0"), F.col("line").alias("l0")).join(later, "id", "left").where("places > 1 or similar")

@@ -46,3 +46,16 @@ def test_ties_repeats_and_the_threshold_itself(spark):
     got = {r.doc_id: (r.n_lines, r.removed) for r in line_dedup.removed_lines(df, bits=12).collect()}
     # 8 of 10 tokens, 8 of 9, 9 of 11, and 4 of 5, the threshold itself; the row that repeats is one line twice.
     assert got == {1: (2, []), 2: (1, [0]), 3: (1, [0]), 4: (1, [0]), 5: (1, []), 6: (1, [0])}
+
+
+def test_many_near_copies_of_one_line(spark):
+    rng = random.Random(7)
+    rows = []
+    for i in range(120):
+        own = [f"w{k}" for k in range(30)]
+        for _ in range(rng.randint(0, 4)):
+            own[rng.randrange(30)] = f"z{rng.randint(0, 999)}"
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame([(i, t, 0, 0, 0, "") for i, t in rows], DOCS)
+    got = {r.doc_id: (r.n_lines, r.removed) for r in line_dedup.removed_lines(df, bits=12).collect()}
+    assert got == plain(rows) and sum(len(r) for _, r in got.values()) > 60
