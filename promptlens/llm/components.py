@@ -2,6 +2,8 @@
 
 Each round is two grouped minima and two joins; the table is written after
 every round, so nothing is collected and a lost executor costs one round at most.
+Tasks follow the number of edges, not that of shuffle partitions: what the
+driver keeps of every task and file would else outweigh small tables.
 """
 
 from __future__ import annotations
@@ -12,6 +14,10 @@ from pyspark.sql import functions as F
 from promptlens.llm.common import stash
 
 
+#: Edges that a task gets before there are more tasks than cores.
+TASK_EDGES = 1 << 18
+
+
 def _to_least(edges: DataFrame) -> DataFrame:
     """(u, v, m) with m the least of u and all its v; the minima are joined on a derived value so that a hot u can be split."""
     least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.xxhash64("u").alias("_j"), F.col("u").alias("_u"), F.least("u", "m").alias("m"))
@@ -22,13 +28,14 @@ def _to_least(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(u, root) of every vertex of ``edges`` (u, v); root is the least vertex of its component."""
     now, before = stash(edges.where("u <> v").select("u", "v").distinct(), "edges"), None
+    tasks = max(now.sparkSession.sparkContext.defaultParallelism, -(-2 * now.count() // TASK_EDGES))
     for _ in range(most_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _to_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _to_least(both).coalesce(tasks).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct().coalesce(tasks)
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        starred = _to_least(down)
+        starred = _to_least(down).coalesce(tasks)
         small = starred.select("u", F.col("m").alias("v")).union(starred.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
-        now = stash(small, "edges")
+        now = stash(small.coalesce(tasks), "edges")
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return now.select("u", F.col("v").alias("root")).union(now.select(F.col("v").alias("u"), F.col("v").alias("root")).distinct())

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptlens.llm.common import bytes_view, steps, text_of
+from promptlens.llm.common import bytes_view, release_memory, steps, text_of
 
 PER_CLASS = 3_000
 #: Bytes of features that the fit gathers at most, half of them for each class.
@@ -154,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     rows = [np.frombuffer(found.column("f")[int(i)].as_buffer(), np.int32) for i in order]
     model = fit(rows, found.column("_quality").to_numpy()[order], total.get(1, 0) / max(sum(total.values()), 1))
     del rows, found
-    pa.default_memory_pool().release_unused()
+    release_memory()
     return model
 
 

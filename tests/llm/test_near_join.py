@@ -147,3 +147,19 @@ def test_n_links_counts_every_different_text(spark, monkeypatch):
         monkeypatch.setattr(near_join, "COUNTED", counted)
         got = {r.doc_id: r.n_links for r in near_join.near_duplicates(df).collect()}
         assert got == dict(enumerate(linked(texts)))
+
+
+def test_components_take_tasks_by_edges_and_not_by_shuffle_partitions(spark):
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        # A path of 60, a star whose centre is its largest vertex, a pair and a loop.
+        edges = [(i, i + 1) for i in range(60)] + [(199, i) for i in range(100, 199)] + [(301, 300), (400, 400)]
+        got = connected_components(spark.createDataFrame(edges, "u long, v long"))
+        assert len(got.inputFiles()) <= spark.sparkContext.defaultParallelism
+        assert {r.u: r.root for r in got.collect()} == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 200)} | {300: 300, 301: 300}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
