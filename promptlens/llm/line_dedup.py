@@ -159,6 +159,12 @@ def _verified(pairs: DataFrame, groups: DataFrame, lines: DataFrame, threshold:
     return similar
 
 
+def posted_prefixes(left: DataFrame) -> DataFrame:
+    """A row for each prefix token; at is its place, or -1 - place if the line is found similar already and stands as an earlier one only."""
+    rows = left.select("id", "d", "line", "n", "bits", F.col("similar").isNotNull().alias("gone"), F.posexplode("prefix").alias("at", "token"))
+    return rows.select("id", "d", "line", "n", "bits", F.when(F.col("gone"), -1 - F.col("at")).otherwise(F.col("at")).alias("at"), "token")
+
+
 def similar_groups(groups: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     """id of each group of lines that is similar to an earlier one."""
     own = ("id", "d", "line", "n", "bits")
@@ -172,10 +178,10 @@ def similar_groups(groups: DataFrame, lines: DataFrame, threshold: float) -> Dat
     gone = _verified(pairs, groups, lines, threshold, "line-leaders")
 
     left = groups.join(gone.withColumn("similar", F.lit(True)), "id", "left")
-    posted = left.select(*own, F.col("similar").isNull().alias("open"), F.posexplode("prefix").alias("at", "token"))
-    # Both sides are one plan, names and all, so that their exchange is made once.
-    room = F.least(a("n") - a("at"), b("n") - b("at"))
-    joined = posted.alias("a").join(posted.alias("b"), (a("token") == b("token")) & b("open") & _fits(a, b, threshold) & (room >= _least_overlap(a("n"), b("n"), threshold)))
+    posted = posted_prefixes(left)
+    # Both sides are one plan, names and all, so that their exchange is made once: no part of the condition is of one side alone.
+    room = F.least(a("n") - F.greatest(a("at"), -1 - a("at")), F.when(b("at") >= 0, b("n") - b("at")).otherwise(0))
+    joined = posted.alias("a").join(posted.alias("b"), (a("token") == b("token")) & _fits(a, b, threshold) & (room >= _least_overlap(a("n"), b("n"), threshold)))
     pairs = stash(joined.select(a("id").alias("a"), b("id").alias("b")).distinct(), "line-pairs")
     return gone.union(_verified(pairs, groups, lines, threshold, "line-pairs"))
 

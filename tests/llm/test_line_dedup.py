@@ -59,3 +59,22 @@ def test_many_near_copies_of_one_line(spark):
     df = spark.createDataFrame([(i, t, 0, 0, 0, "") for i, t in rows], DOCS)
     got = {r.doc_id: (r.n_lines, r.removed) for r in line_dedup.removed_lines(df, bits=12).collect()}
     assert got == plain(rows) and sum(len(r) for _, r in got.values()) > 60
+
+
+def test_the_join_shuffles_its_postings_once(spark, monkeypatch):
+    plans, real = [], line_dedup.stash
+
+    def seen(df, tag):
+        if tag == "line-pairs":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, tag)
+
+    monkeypatch.setattr(line_dedup, "stash", seen)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # a plan that is not adaptive shows reuse before it runs
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        line_dedup.removed_lines(spark.createDataFrame([(i, f"a b c d {i}\nf g h i {i % 3}", 0, 0, 0, "") for i in range(9)], DOCS), bits=12).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plans[0].count("- Exchange hashpartitioning(token") == 1 and "ReusedExchange" in plans[0]
