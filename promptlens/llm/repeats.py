@@ -267,7 +267,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     table = stash(base.mapInArrow(find, "h long, key binary, p0 long, cnt int, pos long"), "anchors")
     count = table.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     # Joined on a derived value, so that adaptive execution can split a hot anchor.
-    both = table.withColumn("j", F.bitwise_not("h")).join(count.select(F.bitwise_not("h").alias("j"), "m"), "j").drop("j")
+    found = table.select(F.bitwise_not("h").alias("j"), "key", "p0", "cnt", "pos")
+    both = found.join(count.select(F.bitwise_not("h").alias("j"), "m"), "j").withColumn("h", F.bitwise_not("j")).drop("j")
     texts = base.groupBy("key").agg(F.first("text").alias("text"), (F.count(F.lit(1)) > 1).alias("whole"))
 
     def lists(rows: DataFrame) -> DataFrame:
@@ -330,21 +331,25 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Da
         for batch in batches:
             out = []
             for text, ranges in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
-                raw, at, keep = text.as_py().encode(), 0, []
+                raw, at, keep = text.as_buffer(), 0, []
+                view = memoryview(raw)
                 for r in ranges:
                     lo, hi = r["lo"], r["hi"]
-                    while lo < len(raw) and raw[lo] & 0xC0 == 0x80:
+                    while lo < len(view) and view[lo] & 0xC0 == 0x80:
                         lo += 1
-                    while hi < len(raw) and raw[hi] & 0xC0 == 0x80:
+                    while hi < len(view) and view[hi] & 0xC0 == 0x80:
                         hi -= 1
-                    keep.append(raw[at:lo])
+                    keep.append({"at": at + 1, "n": lo - at})
                     at = max(lo, hi)
-                out.append((b"".join(keep) + raw[at:]).decode())
-            yield pa.RecordBatch.from_arrays([batch.column("key").cast(pa.binary()), pa.array(out, pa.string())], ["_key", "_kept"])
-
-    part = repeats(docs, length, hot).mapInArrow(cut, "_key binary, _kept string")
-    whole = _copies(docs, length).select(F.col("key").alias("_key"), F.lit("").alias("_kept"))
-    text = F.coalesce(F.col("_kept"), F.col("text"))
+                out.append([*keep, {"at": at + 1, "n": len(view) - at}])
+            kept = pa.array(out, pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())])))
+            yield pa.RecordBatch.from_arrays([batch.column("key").cast(pa.binary()), kept], ["_key", "_kept"])
+
+    # What is kept goes to the rows as ranges of bytes: texts travel with their rows only.
+    part = repeats(docs, length, hot).mapInArrow(cut, "_key binary, _kept array<struct<at:int,n:int>>")
+    whole = _copies(docs, length).select(F.col("key").alias("_key"), F.expr("array(named_struct('at', 1, 'n', 0))").alias("_kept"))
+    kept = F.expr("array_join(transform(_kept, r -> cast(substring(cast(text as binary), r.at, r.n) as string)), '')")
+    text = F.when(F.col("_kept").isNull(), F.col("text")).otherwise(kept)
     joined = docs.withColumn("_key", text_key()).join(part.union(whole), "_key", "left").withColumn("text", text)
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))

@@ -163,3 +163,18 @@ def test_components_take_tasks_by_edges_and_not_by_shuffle_partitions(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_components_of_chains_and_stars(spark, monkeypatch):
+    from promptlens.llm import components
+
+    monkeypatch.setattr(components, "TASK_EDGES", 40)
+    rng = random.Random(9)
+    edges = [(i, i + 1) for i in range(100, 200)] + [(500, i) for i in range(501, 560)] + [(900 + i, 900 + rng.randrange(i)) for i in range(1, 90)] + [(7, 7), (3, 2), (3, 2)]
+    edges = [e if rng.random() < 0.5 else e[::-1] for e in rng.sample(edges, len(edges))]
+    got = sorted(tuple(r) for r in components.connected_components(spark.createDataFrame(edges, "u long, v long").repartition(5)).collect())
+    assert got == sorted([(i, 100) for i in range(100, 201)] + [(i, 500) for i in range(500, 560)] + [(900 + i, 900) for i in range(90)] + [(2, 2), (3, 2)])
+    # Each task leaves stars, so a table of one task needs no round; what spans tasks needs some.
+    monkeypatch.setattr(components, "TASK_EDGES", 1 << 18)
+    one = components.connected_components(spark.createDataFrame(edges, "u long, v long").coalesce(1), most_rounds=1).collect()
+    assert sorted(tuple(r) for r in one) == got
