@@ -12,16 +12,19 @@ doc_id, then line number) is similar to it or has the same tokens.  Lines of
 the same tokens are one group throughout, so copies are never paired.
 
 One earlier similar line is enough for a line to go.  So each line is first
-compared with the earliest lines that share two MinHash values with it; only
-lines that this leaves take part in the join as later lines.  A large group of
-near copies thus costs some pairs a line and, but for the few lines left, not
-its square; no line stays without the join.
-
-Words are cut and hashed over arrays in Python workers; grouping and joining
-are DataFrame operations.  Rarity comes from all lines.  The order only has to
-be one and the same everywhere, so the counts are kept as logarithms in a table
-of ``2**BUCKET_BITS`` bytes whatever the size of the vocabulary; words of one
-bucket count together.  That table is what every task gets.
+compared with the earliest of the lines that share three MinHash values with
+it, where ``LARGE`` lines or more do; lines that this finds similar take part in
+the join as earlier lines only.  A large group of near copies thus costs some
+pairs a line and, but for the few lines left, not its square; no line stays
+without the join.
+
+Everything is a DataFrame operation.  Rarity comes from all lines.  The order
+only has to be one and the same everywhere, so the counts are kept as
+logarithms in a table of ``2**BUCKET_BITS`` bytes whatever the size of the
+vocabulary; words of one bucket count together.  That table is what every task
+gets.  Token sets are not stored: those of candidates are cut again from their
+lines, and a bit table of ``2**PLACE_BITS`` bits keeps most other lines out of
+that exchange.
 
 Defined cases: null text is empty; lines without words are always kept and
 count as lines; rows that share a doc_id are read as one document, a null
@@ -31,54 +34,41 @@ columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import cache
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promptlens.llm.common import Rolling, mix, stash, steps, text_of, unstash
+from promptlens.llm.common import stash, text_of, unstash
 
 THRESHOLD = 0.8
 BUCKET_BITS = 18
+PLACE_BITS = 22
+#: Parts in which as many pairs as there are lines are verified.
+PARTS = 4
+#: Lines of one band from which on they are compared with its earliest line first.
+LARGE = 64
 _LAST = 9223372036854775807
-_HASH = np.uint64((1 << 59) - 1)  # the level stands in the five bits above
-_OTHER = np.uint64(0xA24BAED4963EE407)
-#: Odd factors, each of which gives a MinHash; two values make a band.
-_FACTORS = [np.uint64(pow(0x9E3779B97F4A7C15, i, 1 << 64)) for i in range(1, 7)]
-
-
-@cache
-def _is_word() -> np.ndarray:
-    """Of each code point: is it a letter or a number?"""
-    return np.fromiter((chr(i).isalnum() for i in range(0x110000)), bool, 0x110000)
-
-
-def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of every lower-cased word; rows are counted by line feeds."""
-    low = "\n".join(x or "" for x in column.to_pylist()).lower()
-    points = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
-    inside = np.zeros(len(points) + 2, bool)
-    inside[1:-1] = _is_word()[points]
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    start, end = edges[0::2], edges[1::2]
-    row = np.searchsorted(np.flatnonzero(points == 10), start)
-    return Rolling(points).between(start, end) & _HASH, row
-
-
-def _sets(column: pa.Array, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, row) of the distinct words, by row and then key: level and hash."""
-    key, row = _words(column)
-    key |= level[(key & np.uint64(len(level) - 1)).astype(np.int64)] << np.uint64(59)
-    order = np.argsort(key)
-    small = row.astype(np.uint16 if len(column) < 1 << 16 else np.int64)
-    order = order[np.argsort(small[order], kind="stable")]
-    key, row = key[order], row[order]
-    keep = np.ones(len(key), bool)
-    keep[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
-    return key[keep], row[keep]
+_HASH = (1 << 58) - 1  # the level stands in the five bits above
+_BETWEEN = r"[^\p{L}\p{N}]+"
+
+
+def _words() -> Column:
+    """The lower-cased words of ``text``, and an empty one where it does not begin or end with a word."""
+    return F.split(F.lower("text"), _BETWEEN)
+
+
+def _hash(word: Column) -> Column:
+    return F.xxhash64(word).bitwiseAND(F.lit(_HASH))
+
+
+def _tokens() -> Column:
+    """The distinct words of ``text`` as hashes."""
+    return F.array_remove(F.array_distinct(F.transform(_words(), _hash)), _hash(F.lit("")))
+
+
+def _held(spark, table: bytes) -> Column:
+    """A table of bytes as a column; as a subquery it stays out of the text of plans."""
+    return spark.createDataFrame([(bytearray(table),)], "table binary").scalar()
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -87,45 +77,32 @@ def _lines(docs: DataFrame) -> DataFrame:
     return lines.select(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), "doc_id", "line", "text", F.xxhash64("text").alias("x"))
 
 
-def word_table(docs: DataFrame, bits: int = BUCKET_BITS) -> np.ndarray:
+def word_table(docs: DataFrame, bits: int = BUCKET_BITS) -> bytes:
     """Entry b: the base-2 logarithm of how often the words of bucket b occur."""
+    words = docs.select(text_of().alias("text")).select(F.explode(_words()).alias("word"))
+    counts = words.select(_hash(F.col("word")).bitwiseAND(F.lit((1 << bits) - 1)).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n")).toArrow()  # 2**bits rows at most
+    level = np.zeros(1 << bits, np.uint8)
+    level[counts["b"].to_numpy()] = np.minimum(np.log2(counts["n"].to_numpy()), 31).astype(np.uint8)
+    return level.tobytes()
+
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(1 << bits, np.int64)
-        for batch in steps(batches, "text"):
-            n += np.bincount((_words(batch.column("text"))[0] & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["b", "n"])
-
-    counts = docs.select(text_of().alias("text")).mapInArrow(count, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()  # 2**bits rows at most
-    level = np.zeros(1 << bits, np.uint64)
-    level[counts["b"].to_numpy()] = np.minimum(np.log2(counts["n"].to_numpy()), 31).astype(np.uint64)
-    return level
-
-
-def described(lines: DataFrame, level: np.ndarray, threshold: float) -> DataFrame:
-    """Lines with n (distinct words), two keys of them, their parity map, the tokens of the prefix (32 bits of each) and the bands (32 bits of each)."""
-
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, "text"):
-            key, row = _sets(batch.column("text"), level)
-            n = np.bincount(row, minlength=batch.num_rows)
-            first = np.concatenate([[0], np.cumsum(n)])
-            one, two = mix(key & _HASH), mix((key & _HASH) ^ _OTHER)
-            total = lambda v: np.diff(np.concatenate([np.zeros(1, np.uint64), np.cumsum(v, dtype=np.uint64)])[first])
-            parity, bands = np.zeros(batch.num_rows, np.uint64), np.zeros((0, 3), np.uint64)
-            if len(key):
-                starts = first[:-1][n > 0]
-                parity[n > 0] = np.bitwise_xor.reduceat(np.uint64(1) << (two >> np.uint64(58)), starts)
-                least = [np.minimum.reduceat(one * f, starts) for f in _FACTORS]
-                bands = np.stack([mix(least[i] * _OTHER + least[i + 1] + np.uint64(i)) for i in (0, 2, 4)], axis=1)
-            length = np.where(n > 0, np.maximum(1, n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1), 0)
-            taken = np.arange(len(key)) - first[row] < length[row]
-            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(v.astype(np.uint32).view(np.int32))) for size, v in ((length, key[taken]), (3 * (n > 0), bands.ravel()))]
-            longs = [pa.array(v.view(np.int64)) for v in (total(one), total(two), parity)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("d", "doc_id", "line", "x")], pa.array(n.astype(np.int32)), *longs, *lists], ["d", "doc_id", "line", "x", "n", "k1", "k2", "bits", "prefix", "bands"])
-
-    return lines.mapInArrow(describe, "d long, doc_id long, line int, x long, n int, k1 long, k2 long, bits long, prefix array<int>, bands array<int>")
+def described(lines: DataFrame, level: bytes, threshold: float) -> DataFrame:
+    """Lines with n (distinct words), two keys of them, their parity map, the tokens of the prefix (31 bits of each) and the bands."""
+    table, last = F.lit(level), len(level) - 1  # a subquery cannot stand inside transform
+
+    def rarity(x: Column) -> Column:
+        at = x.bitwiseAND(F.lit(last)).cast("int") + 1
+        return F.shiftleft(F.ascii(F.substring(table, at, F.lit(1)).cast("string")).cast("long"), 58).bitwiseOR(x)
+
+    place = ("d", "doc_id", "line", "x")
+    sets = lines.select(*place, F.sort_array(_tokens()).alias("set")).select(*place, "set", F.size("set").alias("n"))
+    ordered = sets.select(*place, "set", "n", F.sort_array(F.transform(F.col("set"), rarity)).alias("rare"))
+    parity = F.aggregate("set", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 52).cast("int"))))
+    length = F.when(F.col("n") > 0, F.greatest(F.lit(1), F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1)).otherwise(0)
+    prefix = F.transform(F.slice("rare", F.lit(1), length), lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
+    end = lambda k: F.slice("set", F.greatest(F.col("n") - (k - 1), F.lit(1)), F.lit(k))
+    bands = F.array(F.xxhash64(F.lit(0), F.slice("set", 1, 3)), F.xxhash64(F.lit(1), end(3)), F.xxhash64(F.lit(2), F.slice("set", 1, 2), end(1)))
+    return ordered.select(*place, "n", F.xxhash64("set").alias("k1"), F.xxhash64(F.lit(1), "set").alias("k2"), parity.alias("bits"), prefix.alias("prefix"), bands.alias("bands"))
 
 
 def _least_overlap(a: Column, b: Column, threshold: float) -> Column:
@@ -133,57 +110,115 @@ def _least_overlap(a: Column, b: Column, threshold: float) -> Column:
 
 
 def _fits(a, b, threshold: float) -> Column:
-    """a and b, functions from a name to a column, are earlier and later and may be similar by length and parity."""
-    earlier = (a("d") < b("d")) | ((a("d") == b("d")) & (a("line") < b("line")))
+    """a and b, functions from a name to a column, may be similar by length and parity."""
     apart = F.bit_count(a("bits").bitwiseXOR(b("bits")))
-    return earlier & (F.least(a("n"), b("n")) >= F.lit(threshold) * F.greatest(a("n"), b("n")) - 1e-9) & (a("n") + b("n") - apart >= 2 * _least_overlap(a("n"), b("n"), threshold))
-
-
-def _verified(pairs: DataFrame, groups: DataFrame, lines: DataFrame, threshold: float, tag: str) -> DataFrame:
-    """id of each b of the pairs (a, b) whose lines are similar."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    places = groups.select("id", "d", "line", "x", "n").join(wanted, "id", "left_semi")
-    texts = stash(lines.select("d", "line", "x", "text").join(places, ["d", "line", "x"]).select("id", "n", "text").dropDuplicates(["id"]), f"{tag}-texts")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("text").alias("ta")), "a")
-    both = both.join(texts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("text").alias("tb")), "b")
-    both = both.select("b", (F.col("na") + F.col("nb")).alias("sizes"), F.concat("ta", F.lit(" "), "tb").alias("text"))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, "text"):
-            union = np.bincount(_sets(batch.column("text"), np.zeros(1, np.uint64))[1], minlength=batch.num_rows)
-            similar = batch.column("sizes").to_numpy() - union >= threshold * union - 1e-9
-            yield pa.RecordBatch.from_arrays([batch.column("b").filter(pa.array(similar))], ["id"])
-
-    similar = stash(both.mapInArrow(verify, "id long").distinct(), f"{tag}-similar")
-    unstash(texts)
-    return similar
+    return (F.least(a("n"), b("n")) >= F.lit(threshold) * F.greatest(a("n"), b("n")) - 1e-9) & (a("n") + b("n") - apart >= 2 * _least_overlap(a("n"), b("n"), threshold))
+
+
+def _earlier(a, b) -> Column:
+    return (a("d") < b("d")) | ((a("d") == b("d")) & (a("line") < b("line")))
+
+
+def place_table(places: DataFrame, bits: int = PLACE_BITS) -> bytes:
+    """A bit for each value of ``_slot``: is there a place of this slot?"""
+    slots = places.select(_slot(bits).alias("s"))
+    maps = slots.groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m")).collect()  # 2**bits bits at most
+    size = 1 << 12
+    table = bytearray(max(size, 1 << (bits - 3)) + size)
+    for r in maps:  # buckets are counted from 1, that of 0 is 0 or 1
+        table[r.k * size : (r.k + 1) * size] = r.m
+    return bytes(table)
+
+
+def _slot(bits: int = PLACE_BITS) -> Column:
+    """A value from 1 on."""
+    return F.xxhash64("d", "line", "x").bitwiseAND(F.lit((1 << bits) - 1)) + 1
+
+
+def _in_table(table: Column) -> Column:
+    at, bit = F.bitmap_bucket_number(_slot()) * F.lit(1 << 12) + F.shiftright(F.bitmap_bit_position(_slot()), 3) + 1, F.bitmap_bit_position(_slot()).bitwiseAND(F.lit(7)).cast("int")
+    byte = F.conv(F.hex(F.substring(table, at.cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.call_function("shiftright", byte, bit).bitwiseAND(F.lit(1)) == 1
+
+
+def _verified(pairs: DataFrame, groups: DataFrame, lines: DataFrame, threshold: float, tag: str, n_groups: int) -> DataFrame:
+    """id of each b of the stashed pairs (a, b), a earlier, whose lines are similar.
+
+    Pairs are taken in parts by a, as many as hold about a ``PARTS``-th of as
+    many pairs as there are groups, so that token sets of all lines are not on
+    disk at once.
+    """
+    parts = max(1, -(-PARTS * pairs.count() // max(n_groups, 1)))
+    found = None
+    for k in range(parts):
+        part = pairs.where(F.pmod(F.xxhash64("a"), F.lit(parts)) == k)
+        wanted = part.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        places = stash(groups.select("id", "d", "line", "x").join(wanted, "id", "left_semi"), f"{tag}-places")
+        some = lines.select("d", "line", "x", "text").where(_in_table(_held(lines.sparkSession, place_table(places))))
+        sets = stash(some.join(places, ["d", "line", "x"]).select("id", _tokens().alias("set")), f"{tag}-sets")  # rows that repeat give a set twice
+        both = part.join(sets.withColumnsRenamed({"id": "a", "set": "of_a"}), "a").join(sets.withColumnsRenamed({"id": "b", "set": "of_b"}), "b")
+        both = both.select("b", F.size("of_a").alias("na"), F.size("of_b").alias("nb"), F.size(F.array_intersect("of_a", "of_b")).alias("common"))
+        similar = both.where(F.col("common") >= F.lit(threshold) * (F.col("na") + F.col("nb") - F.col("common")) - 1e-9)
+        similar = stash(similar.select(F.col("b").alias("id")).distinct(), f"{tag}-similar")
+        unstash(sets)
+        unstash(places)
+        found = similar if found is None else found.union(similar)
+    return found.distinct()
+
+
+def _oriented(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs as a, b and at (place and id of a), a earlier; pairs at one place are none."""
+    at = lambda x: groups.select(F.col("id").alias(x), F.struct("d", "line", F.col("id").alias("id")).alias(f"at_{x}"))
+    both = pairs.join(at("a"), "a").join(at("b"), "b")
+    a, b = ((lambda c, x=x: F.col(f"at_{x}.{c}")) for x in "ab")
+    turned = _earlier(b, a)
+    sides = both.where(turned | _earlier(a, b)).select(F.when(turned, F.col("at_b")).otherwise(F.col("at_a")).alias("at"), F.when(turned, a("id")).otherwise(b("id")).alias("b"))
+    return sides.select(F.col("at.id").alias("a"), "b", "at")
 
 
 def posted_prefixes(left: DataFrame) -> DataFrame:
     """A row for each prefix token; at is its place, or -1 - place if the line is found similar already and stands as an earlier one only."""
-    rows = left.select("id", "d", "line", "n", "bits", F.col("similar").isNotNull().alias("gone"), F.posexplode("prefix").alias("at", "token"))
-    return rows.select("id", "d", "line", "n", "bits", F.when(F.col("gone"), -1 - F.col("at")).otherwise(F.col("at")).alias("at"), "token")
+    rows = left.select("id", "n", "bits", "gone", F.posexplode("prefix").alias("at", "token"))
+    return rows.select("id", "n", "bits", F.when(F.col("gone"), -1 - F.col("at")).otherwise(F.col("at")).alias("at"), "token")
 
 
-def similar_groups(groups: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """id of each group of lines that is similar to an earlier one."""
+def similar_groups(groups: DataFrame, lines: DataFrame, threshold: float, large: int = LARGE) -> DataFrame:
+    """id of each group of lines that is similar to an earlier one; groups are stashed."""
     own = ("id", "d", "line", "n", "bits")
     keyed = groups.select(*own, F.explode("bands").alias("key"))
+    often = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where(F.col("often") >= large).select("key")
+    keyed = stash(keyed.join(often, "key", "left_semi"), "line-bands")
     # Joined on a derived value, so that adaptive execution can split a hot key.
     leaders = keyed.groupBy("key").agg(F.min(F.struct("d", "line", "id", "n", "bits")).alias("o")).select(F.bitwise_not("key").alias("j"), "o.*")
     later = keyed.withColumn("j", F.bitwise_not("key"))
     a, b = ((lambda c, x=x: F.col(f"{x}.{c}")) for x in "ab")
-    pairs = leaders.alias("a").join(later.alias("b"), (a("j") == b("j")) & _fits(a, b, threshold))
+    pairs = leaders.alias("a").join(later.alias("b"), (a("j") == b("j")) & _earlier(a, b) & _fits(a, b, threshold))
     pairs = stash(pairs.select(a("id").alias("a"), b("id").alias("b")).distinct(), "line-leaders")
-    gone = _verified(pairs, groups, lines, threshold, "line-leaders")
+    unstash(keyed)
+    n_groups = groups.count()
+    gone = _verified(pairs, groups, lines, threshold, "line-leaders", n_groups)
+    unstash(pairs)
 
-    left = groups.join(gone.withColumn("similar", F.lit(True)), "id", "left")
+    flagged = groups.select("id", "n", "bits", "prefix").join(gone.withColumn("similar", F.lit(True)), "id", "left")
+    left = stash(flagged.select("id", "n", "bits", "prefix", F.col("similar").isNotNull().alias("gone")), "line-left")
     posted = posted_prefixes(left)
     # Both sides are one plan, names and all, so that their exchange is made once: no part of the condition is of one side alone.
-    room = F.least(a("n") - F.greatest(a("at"), -1 - a("at")), F.when(b("at") >= 0, b("n") - b("at")).otherwise(0))
-    joined = posted.alias("a").join(posted.alias("b"), (a("token") == b("token")) & _fits(a, b, threshold) & (room >= _least_overlap(a("n"), b("n"), threshold)))
+    room = F.least(*[x("n") - F.greatest(x("at"), -1 - x("at")) for x in (a, b)])
+    matches = (a("token") == b("token")) & (a("id") < b("id")) & ((a("at") >= 0) | (b("at") >= 0))
+    joined = posted.alias("a").join(posted.alias("b"), matches & _fits(a, b, threshold) & (room >= _least_overlap(a("n"), b("n"), threshold)))
     pairs = stash(joined.select(a("id").alias("a"), b("id").alias("b")).distinct(), "line-pairs")
-    return gone.union(_verified(pairs, groups, lines, threshold, "line-pairs"))
+    unstash(left)
+    turned = stash(_oriented(pairs, groups).join(gone.withColumnRenamed("id", "b"), "b", "left_anti"), "line-turned")
+    unstash(pairs)
+    # Nearly always the earliest candidate is similar; the others are compared where it is not.
+    first = stash(turned.groupBy("b").agg(F.min("at").alias("at")).select(F.col("at.id").alias("a"), "b"), "line-first")
+    found = gone.union(_verified(first, groups, lines, threshold, "line-first", n_groups))
+    rest = stash(turned.select("a", "b").join(found.withColumnRenamed("id", "b"), "b", "left_anti").join(first, ["a", "b"], "left_anti"), "line-rest")
+    unstash(turned)
+    unstash(first)
+    found = found.union(_verified(rest, groups, lines, threshold, "line-rest", n_groups))
+    unstash(rest)
+    return found
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, bits: int = BUCKET_BITS) -> DataFrame:
@@ -193,12 +228,14 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, bits: int = BUC
     found = lines.where("n > 0")
     groups = found.groupBy("k1", "k2").agg(F.min(F.struct("d", "line", "x", "n", "bits", "prefix", "bands")).alias("o"), F.count(F.lit(1)).alias("places"))
     groups = stash(groups.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "places", "o.*"), "line-groups")
+    some = F.col("n") > 0
+    own = lines.select("d", "doc_id", "line", F.when(some, F.bitwise_not("k1")).alias("j1"), F.when(some, F.bitwise_not("k2")).alias("j2"))
+    own = stash(own, "line-keys")
+    unstash(lines)
     later = similar_groups(groups, texts, threshold).withColumn("similar", F.lit(True))
     flags = groups.select("id", "k1", "k2", "places", F.col("d").alias("d0"), F.col("line").alias("l0")).join(later, "id", "left").where("places > 1 or similar")
     # Joined on derived values, so that adaptive execution can split a hot line.
     flags = flags.select(F.bitwise_not("k1").alias("j1"), F.bitwise_not("k2").alias("j2"), "d0", "l0", F.coalesce("similar", F.lit(False)).alias("similar"))
-    some = F.col("n") > 0
-    own = lines.select("d", "doc_id", "line", F.when(some, F.bitwise_not("k1")).alias("j1"), F.when(some, F.bitwise_not("k2")).alias("j2"))
     first = (F.col("d") == F.col("d0")) & (F.col("line") == F.col("l0"))
     gone = F.when(F.col("similar").isNotNull() & (F.col("similar") | ~first), F.col("line"))
     return own.join(flags, ["j1", "j2"], "left").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count(gone).alias("n_removed"), F.array_sort(F.collect_list(gone)).alias("removed"))

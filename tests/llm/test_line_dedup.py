@@ -78,3 +78,26 @@ def test_the_join_shuffles_its_postings_once(spark, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plans[0].count("- Exchange hashpartitioning(token") == 1 and "ReusedExchange" in plans[0]
+
+
+def test_pairs_are_verified_in_parts_and_without_python_workers(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):
+        base = [f"v{rng.randint(0, 400)}" for _ in range(20)]
+        rows += [(3 * i, " ".join(base)), (3 * i + 1, " ".join([*base[:19], "x"])), (3 * i + 2, " ".join([*base[:14], *(f"y{k}" for k in range(6))]))]
+    plans, sizes, real = [], [], line_dedup.stash
+
+    def seen(df, tag):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        out = real(df, tag)
+        if tag.endswith("-sets"):
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "stash", seen)
+    df = spark.createDataFrame([(i, t, 0, 0, 0, "") for i, t in rows], DOCS)
+    got = {r.doc_id: (r.n_lines, r.removed) for r in line_dedup.removed_lines(df, bits=12).collect()}
+    assert got == plain(rows) and sum(len(r) for _, r in got.values()) >= 55
+    assert not any(word in p for p in plans for word in ("MapInArrow", "Python", "Pandas"))
+    assert len(sizes) > 1 and max(sizes) < 120  # two sets for each of 60 pairs would be all at once
