@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptlens.llm.common import bytes_view, grouped, mix, stash, steps, text_key, text_of
+from promptlens.llm.common import SMALL_STEP, bytes_view, grouped, mix, stash, steps, text_key, text_of
 from promptlens.llm.components import connected_components
 from promptlens.llm.words import shingle_sets
 
@@ -99,7 +99,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = np.repeat(np.arange(BANDS, dtype=np.uint64), 1)
-        for batch in steps(batches, "text"):
+        for batch in steps(batches, "text", SMALL_STEP):
             keys, sizes, bands, signatures = [], [], [], []
             for shingles in shingle_sets(*bytes_view(batch.column("text"))):
                 sizes.append(len(shingles))
@@ -167,7 +167,7 @@ class Sets:
 
 
 def sets_of(table: pa.Table) -> list[np.ndarray]:
-    return [s for b in steps(table.select(["text"]).combine_chunks().to_batches(), "text") for s in shingle_sets(*bytes_view(b.column("text")))]
+    return [s for b in steps(table.select(["text"]).combine_chunks().to_batches(), "text", SMALL_STEP) for s in shingle_sets(*bytes_view(b.column("text")))]
 
 
 def forest(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptlens.llm.common import Rolling, binaries, bytes_view, stash, steps, text_key, text_of
+from promptlens.llm.common import SMALL_STEP, Rolling, binaries, bytes_view, release_memory, stash, steps, text_key, text_of
 
 LENGTH = 200
 GRAM = 32
@@ -184,6 +184,8 @@ def _compare(length: int):
             rows = pa.Table.from_batches(held)
             for a, b in _blocks(rows.column("h").to_numpy()):
                 yield flush(rows.slice(a, b - a))
+        held, rows = [], None
+        release_memory()
 
     return compare
 
@@ -208,9 +210,18 @@ def _runs_of(batch: pa.RecordBatch):
     return data, at[row] + p0, row, p0, cnt, pos, h
 
 
+def _anchored(length: int):
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, "text", SMALL_STEP):
+            row, p0, cnt, pos, h = anchors(*bytes_view(batch.column("text")), length)
+            yield pa.RecordBatch.from_arrays([pa.array(h), batch.column("key").take(pa.array(row)).cast(pa.binary()), pa.array(p0), pa.array(cnt.astype(np.int32)), pa.array(pos)], ["h", "key", "p0", "cnt", "pos"])
+
+    return find
+
+
 def _pieces(length: int):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, "text"):
+        for batch in steps(batches, "text", SMALL_STEP):
             data, start, row, p0, cnt, pos, h = _runs_of(batch)
             for a in range(0, len(row), 10_000):
                 s = slice(a, a + 10_000)
@@ -225,7 +236,7 @@ def _pieces(length: int):
 
 def _windows(length: int):
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, "text"):
+        for batch in steps(batches, "text", SMALL_STEP):
             data, start, row, p0, cnt, _, _ = _runs_of(batch)
             two = [Rolling(data), Rolling(data, 0xC2B2AE3D27D4EB4F)]
             for a in range(0, len(row), 1_000):
@@ -259,12 +270,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """key, text, spans of each text that keeps a part of itself; spans are the sorted disjoint removed byte ranges."""
     base = docs.select(text_key().alias("key"), text_of().alias("text"))
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, "text"):
-            row, p0, cnt, pos, h = anchors(*bytes_view(batch.column("text")), length)
-            yield pa.RecordBatch.from_arrays([pa.array(h), batch.column("key").take(pa.array(row)).cast(pa.binary()), pa.array(p0), pa.array(cnt.astype(np.int32)), pa.array(pos)], ["h", "key", "p0", "cnt", "pos"])
-
-    table = stash(base.mapInArrow(find, "h long, key binary, p0 long, cnt int, pos long"), "anchors")
+    table = stash(base.mapInArrow(_anchored(length), "h long, key binary, p0 long, cnt int, pos long"), "anchors")
     count = table.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     # Joined on a derived value, so that adaptive execution can split a hot anchor.
     found = table.select(F.bitwise_not("h").alias("j"), "key", "p0", "cnt", "pos")
@@ -284,7 +290,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     rest = texts.join(spans, "key").where("not whole").select("key", "text", "marks")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, "text"):
+        for batch in steps(batches, "text", SMALL_STEP):
             pairs = [[{"lo": int(a), "hi": int(b)} for a, b in zip(*x, strict=True)] for x in _merged(batch.column("marks"))]
             yield pa.RecordBatch.from_arrays([batch.column("key").cast(pa.binary()), batch.column("text"), pa.array(pairs, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))], ["key", "text", "spans"])
 

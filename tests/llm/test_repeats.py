@@ -60,3 +60,23 @@ def test_text_stage_and_empty_table(spark):
     got = {r.doc_id: r.text for r in repeats.without_repeats(df).collect()}
     assert got == {1: "tail one that stays", 2: "other start ", None: None}
     assert repeats.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_anchors_of_a_large_batch_take_bounded_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+    from promptlens.llm import common
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(5_000)]
+    texts = [" ".join(rng.choices(words, k=4_000)) for _ in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i).encode() for i in range(200)]), pa.array(texts)], ["key", "text"])
+    common._POWERS.clear()
+    tracemalloc.start()
+    try:
+        found = sum(b.num_rows for b in repeats._anchored(200)(iter([batch])))
+        _, most = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert found > 10_000 and most < 40e6, most
