@@ -5,7 +5,8 @@ ordered by rarity; a line's prefix is the part of that order in which two
 lines of Jaccard similarity ``THRESHOLD`` must share a token.  Lines that share
 a prefix token are candidates if they pass the length and positional filters
 and a bound from parity maps: a token flips one of 64 bits, so each bit in
-which two lines' maps differ comes from a token that only one of them has.  The
+which two lines' maps differ comes from a token that only one of them has; long
+lines have a wider map too, as their tokens fill 64 bits.  The
 Jaccard similarity of the whole lines is then verified: a pair's union is the
 tokens of both texts put together.  A line goes when an earlier line (by
 doc_id, then line number) is similar to it or has the same tokens.  Lines of
@@ -34,6 +35,9 @@ columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +50,10 @@ PLACE_BITS = 22
 #: Parts in which as many pairs as there are lines are verified.
 PARTS = 4
 #: Lines of one band from which on they are compared with its earliest line first.
-LARGE = 64
+LARGE = 2
+#: Lines of more words have a parity map of ``WIDE`` times 64 bits too: the flips of many tokens fill 64 bits.
+LONG = 64
+WIDE = 4
 _LAST = 9223372036854775807
 _HASH = (1 << 58) - 1  # the level stands in the five bits above
 _BETWEEN = r"[^\p{L}\p{N}]+"
@@ -94,15 +101,19 @@ def described(lines: DataFrame, level: bytes, threshold: float) -> DataFrame:
         at = x.bitwiseAND(F.lit(last)).cast("int") + 1
         return F.shiftleft(F.ascii(F.substring(table, at, F.lit(1)).cast("string")).cast("long"), 58).bitwiseOR(x)
 
+    def flips(tokens: Column) -> Column:
+        return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 52).cast("int"))))
+
+    of = lambda k: lambda x: x.bitwiseAND(F.lit(WIDE - 1)) == k  # a second parameter would be the index
     place = ("d", "doc_id", "line", "x")
     sets = lines.select(*place, F.sort_array(_tokens()).alias("set")).select(*place, "set", F.size("set").alias("n"))
     ordered = sets.select(*place, "set", "n", F.sort_array(F.transform(F.col("set"), rarity)).alias("rare"))
-    parity = F.aggregate("set", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 52).cast("int"))))
+    wide = F.when(F.col("n") > LONG, F.array(*[flips(F.filter("set", of(k))) for k in range(WIDE)]))
     length = F.when(F.col("n") > 0, F.greatest(F.lit(1), F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1)).otherwise(0)
     prefix = F.transform(F.slice("rare", F.lit(1), length), lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
     end = lambda k: F.slice("set", F.greatest(F.col("n") - (k - 1), F.lit(1)), F.lit(k))
     bands = F.array(F.xxhash64(F.lit(0), F.slice("set", 1, 3)), F.xxhash64(F.lit(1), end(3)), F.xxhash64(F.lit(2), F.slice("set", 1, 2), end(1)))
-    return ordered.select(*place, "n", F.xxhash64("set").alias("k1"), F.xxhash64(F.lit(1), "set").alias("k2"), parity.alias("bits"), prefix.alias("prefix"), bands.alias("bands"))
+    return ordered.select(*place, "n", F.xxhash64("set").alias("k1"), F.xxhash64(F.lit(1), "set").alias("k2"), flips(F.col("set")).alias("bits"), wide.alias("wide"), prefix.alias("prefix"), bands.alias("bands"))
 
 
 def _least_overlap(a: Column, b: Column, threshold: float) -> Column:
@@ -111,8 +122,11 @@ def _least_overlap(a: Column, b: Column, threshold: float) -> Column:
 
 def _fits(a, b, threshold: float) -> Column:
     """a and b, functions from a name to a column, may be similar by length and parity."""
-    apart = F.bit_count(a("bits").bitwiseXOR(b("bits")))
-    return (F.least(a("n"), b("n")) >= F.lit(threshold) * F.greatest(a("n"), b("n")) - 1e-9) & (a("n") + b("n") - apart >= 2 * _least_overlap(a("n"), b("n"), threshold))
+    differ = lambda x, y: F.bit_count(x.bitwiseXOR(y))
+    by_length = F.least(a("n"), b("n")) >= F.lit(threshold) * F.greatest(a("n"), b("n")) - 1e-9
+    most = a("n") + b("n") - 2 * _least_overlap(a("n"), b("n"), threshold)
+    wide = reduce(add, [differ(a("wide")[k], b("wide")[k]) for k in range(WIDE)]) <= most
+    return by_length & (differ(a("bits"), b("bits")) <= most) & F.coalesce(wide, F.lit(True))
 
 
 def _earlier(a, b) -> Column:
@@ -166,55 +180,52 @@ def _verified(pairs: DataFrame, groups: DataFrame, lines: DataFrame, threshold:
     return found.distinct()
 
 
-def _oriented(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs as a, b and at (place and id of a), a earlier; pairs at one place are none."""
-    at = lambda x: groups.select(F.col("id").alias(x), F.struct("d", "line", F.col("id").alias("id")).alias(f"at_{x}"))
-    both = pairs.join(at("a"), "a").join(at("b"), "b")
-    a, b = ((lambda c, x=x: F.col(f"at_{x}.{c}")) for x in "ab")
-    turned = _earlier(b, a)
-    sides = both.where(turned | _earlier(a, b)).select(F.when(turned, F.col("at_b")).otherwise(F.col("at_a")).alias("at"), F.when(turned, a("id")).otherwise(b("id")).alias("b"))
-    return sides.select(F.col("at.id").alias("a"), "b", "at")
-
-
 def posted_prefixes(left: DataFrame) -> DataFrame:
     """A row for each prefix token; at is its place, or -1 - place if the line is found similar already and stands as an earlier one only."""
-    rows = left.select("id", "n", "bits", "gone", F.posexplode("prefix").alias("at", "token"))
-    return rows.select("id", "n", "bits", F.when(F.col("gone"), -1 - F.col("at")).otherwise(F.col("at")).alias("at"), "token")
+    rows = left.select("id", "d", "line", "n", "bits", "wide", "gone", F.posexplode("prefix").alias("at", "token"))
+    return rows.select("id", "d", "line", "n", "bits", "wide", F.when(F.col("gone"), -1 - F.col("at")).otherwise(F.col("at")).alias("at"), "token")
 
 
-def similar_groups(groups: DataFrame, lines: DataFrame, threshold: float, large: int = LARGE) -> DataFrame:
-    """id of each group of lines that is similar to an earlier one; groups are stashed."""
-    own = ("id", "d", "line", "n", "bits")
-    keyed = groups.select(*own, F.explode("bands").alias("key"))
-    often = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where(F.col("often") >= large).select("key")
-    keyed = stash(keyed.join(often, "key", "left_semi"), "line-bands")
+def leaders_of(groups: DataFrame, threshold: float, large: int) -> DataFrame:
+    """Pairs (a, b) of the earliest line of a band of ``large`` lines or more with each later line of it that it may be similar to; a line's earliest such leader only."""
+    keyed = groups.select("id", "d", "line", "n", "bits", "wide", F.explode("bands").alias("key"))
+    leaders = keyed.groupBy("key").agg(F.min(F.struct("d", "line", "id", "n", "bits", "wide")).alias("o"), F.count(F.lit(1)).alias("often")).where(F.col("often") >= large)
     # Joined on a derived value, so that adaptive execution can split a hot key.
-    leaders = keyed.groupBy("key").agg(F.min(F.struct("d", "line", "id", "n", "bits")).alias("o")).select(F.bitwise_not("key").alias("j"), "o.*")
-    later = keyed.withColumn("j", F.bitwise_not("key"))
+    leaders = leaders.select(F.bitwise_not("key").alias("j"), "o.*")
+    later = keyed.withColumn("j", F.bitwise_not("key")).drop("key")
     a, b = ((lambda c, x=x: F.col(f"{x}.{c}")) for x in "ab")
     pairs = leaders.alias("a").join(later.alias("b"), (a("j") == b("j")) & _earlier(a, b) & _fits(a, b, threshold))
-    pairs = stash(pairs.select(a("id").alias("a"), b("id").alias("b")).distinct(), "line-leaders")
-    unstash(keyed)
+    first = pairs.select(F.struct(a("d"), a("line"), a("id")).alias("at"), b("id").alias("b")).groupBy("b").agg(F.min("at").alias("at"))
+    return first.select(F.col("at.id").alias("a"), "b")
+
+
+def similar_groups(groups: DataFrame, lines: DataFrame, threshold: float, large: int = LARGE) -> DataFrame:
+    """id of each group of lines that is similar to an earlier one; groups are stashed."""
+    a, b = ((lambda c, x=x: F.col(f"{x}.{c}")) for x in "ab")
+    pairs = stash(leaders_of(groups, threshold, large), "line-leaders")
     n_groups = groups.count()
     gone = _verified(pairs, groups, lines, threshold, "line-leaders", n_groups)
     unstash(pairs)
 
-    flagged = groups.select("id", "n", "bits", "prefix").join(gone.withColumn("similar", F.lit(True)), "id", "left")
-    left = stash(flagged.select("id", "n", "bits", "prefix", F.col("similar").isNotNull().alias("gone")), "line-left")
+    flagged = groups.select("id", "d", "line", "n", "bits", "wide", "prefix").join(gone.withColumn("similar", F.lit(True)), "id", "left")
+    left = stash(flagged.select("id", "d", "line", "n", "bits", "wide", "prefix", F.col("similar").isNotNull().alias("gone")), "line-left")
     posted = posted_prefixes(left)
     # Both sides are one plan, names and all, so that their exchange is made once: no part of the condition is of one side alone.
     room = F.least(*[x("n") - F.greatest(x("at"), -1 - x("at")) for x in (a, b)])
-    matches = (a("token") == b("token")) & (a("id") < b("id")) & ((a("at") >= 0) | (b("at") >= 0))
+    matches = (a("token") == b("token")) & _earlier(a, b) & (F.least(a("n"), b("at")) >= 0)  # n is 1 at least: b is not gone
     joined = posted.alias("a").join(posted.alias("b"), matches & _fits(a, b, threshold) & (room >= _least_overlap(a("n"), b("n"), threshold)))
-    pairs = stash(joined.select(a("id").alias("a"), b("id").alias("b")).distinct(), "line-pairs")
+    pairs = stash(joined.select(F.struct(a("d"), a("line"), a("id").alias("id")).alias("at"), b("id").alias("b")).distinct(), "line-pairs")
     unstash(left)
-    turned = stash(_oriented(pairs, groups).join(gone.withColumnRenamed("id", "b"), "b", "left_anti"), "line-turned")
-    unstash(pairs)
+    if pairs.count() * PARTS <= n_groups:
+        found = gone.union(_verified(pairs.select(F.col("at.id").alias("a"), "b"), groups, lines, threshold, "line-few", n_groups))
+        unstash(pairs)
+        return found
     # Nearly always the earliest candidate is similar; the others are compared where it is not.
-    first = stash(turned.groupBy("b").agg(F.min("at").alias("at")).select(F.col("at.id").alias("a"), "b"), "line-first")
+    first = stash(pairs.groupBy("b").agg(F.min("at").alias("at")).select(F.col("at.id").alias("a"), "b"), "line-first")
     found = gone.union(_verified(first, groups, lines, threshold, "line-first", n_groups))
-    rest = stash(turned.select("a", "b").join(found.withColumnRenamed("id", "b"), "b", "left_anti").join(first, ["a", "b"], "left_anti"), "line-rest")
-    unstash(turned)
+    rest = pairs.select(F.col("at.id").alias("a"), "b").join(found.withColumnRenamed("id", "b"), "b", "left_anti").join(first, ["a", "b"], "left_anti")
+    rest = stash(rest, "line-rest")
+    unstash(pairs)
     unstash(first)
     found = found.union(_verified(rest, groups, lines, threshold, "line-rest", n_groups))
     unstash(rest)
@@ -226,7 +237,7 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, bits: int = BUC
     texts = _lines(docs)
     lines = stash(described(texts, word_table(docs, bits), threshold), "lines")
     found = lines.where("n > 0")
-    groups = found.groupBy("k1", "k2").agg(F.min(F.struct("d", "line", "x", "n", "bits", "prefix", "bands")).alias("o"), F.count(F.lit(1)).alias("places"))
+    groups = found.groupBy("k1", "k2").agg(F.min(F.struct("d", "line", "x", "n", "bits", "wide", "prefix", "bands")).alias("o"), F.count(F.lit(1)).alias("places"))
     groups = stash(groups.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "places", "o.*"), "line-groups")
     some = F.col("n") > 0
     own = lines.select("d", "doc_id", "line", F.when(some, F.bitwise_not("k1")).alias("j1"), F.when(some, F.bitwise_not("k2")).alias("j2"))

@@ -101,3 +101,26 @@ def test_pairs_are_verified_in_parts_and_without_python_workers(spark, monkeypat
     assert got == plain(rows) and sum(len(r) for _, r in got.values()) >= 55
     assert not any(word in p for p in plans for word in ("MapInArrow", "Python", "Pandas"))
     assert len(sizes) > 1 and max(sizes) < 120  # two sets for each of 60 pairs would be all at once
+
+
+def test_pairs_of_long_lines_and_of_small_groups_do_not_grow_with_the_square(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = []
+    for i in range(60):  # long lines that share a rare word, and few others
+        rows.append((i, " ".join([f"rare{i // 20}", *(f"u{rng.randint(0, 99_999)}" for _ in range(160)), *(f"c{k}" for k in range(10))])))
+    for i in range(6):  # groups of ten near copies, long and short
+        own = [f"g{i}x{k}" for k in range(200 if i % 2 else 40)]
+        rows += [(100 + 10 * i + c, " ".join([*own[:-1], f"e{c}"])) for c in range(10)]
+    rows += [(500, " ".join([*(f"g1x{k}" for k in range(160)), *(f"z{k}" for k in range(40))])), (501, " ".join([*(f"g1x{k}" for k in range(180)), *(f"y{k}" for k in range(21))]))]
+    made, real = {}, line_dedup.stash
+
+    def seen(df, tag):
+        out = real(df, tag)
+        made[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "stash", seen)
+    df = spark.createDataFrame([(i, t, 0, 0, 0, "") for i, t in rows], DOCS)
+    got = {r.doc_id: (r.n_lines, r.removed) for r in line_dedup.removed_lines(df, bits=12).collect()}
+    assert got == plain(rows) and sum(len(r) for _, r in got.values()) >= 54
+    assert made["line-leaders"] + made["line-pairs"] < 120, made  # 570 pairs share a rare word, 270 are in the groups
