@@ -124,3 +124,20 @@ def test_pairs_of_long_lines_and_of_small_groups_do_not_grow_with_the_square(spa
     got = {r.doc_id: (r.n_lines, r.removed) for r in line_dedup.removed_lines(df, bits=12).collect()}
     assert got == plain(rows) and sum(len(r) for _, r in got.values()) >= 54
     assert made["line-leaders"] + made["line-pairs"] < 120, made  # 570 pairs share a rare word, 270 are in the groups
+
+
+@pytest.mark.parametrize("most", [0, 10**9])
+def test_words_are_counted_only_where_the_order_by_length_makes_many_pairs(spark, monkeypatch, most):
+    rng = random.Random(11)
+    rows = []
+    for i in range(90):  # long and short lines about the bounds of the classes of length
+        own = [f"{'abcdefgh'[k % 8] * (1 + k % 5)}{k}" for k in rng.sample(range(60), rng.choice([4, 5, 6, 16, 17, 20, 21, 24, 25, 30]))]
+        rows.append((2 * i, " ".join(own)))
+        rows.append((2 * i + 1, " ".join([*own[: len(own) - len(own) // 9], *(f"new{i}" for _ in range(len(own) // 9)), *(f"more{i}x{k}" for k in range(len(own) // rng.choice([5, 9, 20])))])))
+    counted, real = [], line_dedup.word_table
+    monkeypatch.setattr(line_dedup, "word_table", lambda *a: counted.append(1) or real(*a))
+    monkeypatch.setattr(line_dedup, "MOST_PAIRS", most)
+    df = spark.createDataFrame([(i, t, 0, 0, 0, "") for i, t in rows], DOCS)
+    got = {r.doc_id: (r.n_lines, r.removed) for r in line_dedup.removed_lines(df, bits=12).collect()}
+    assert got == plain(rows) and sum(len(r) for _, r in got.values()) > 40
+    assert len(counted) == (most == 0)
