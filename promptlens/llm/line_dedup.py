@@ -60,6 +60,9 @@ PARTS = 4
 LARGE = 2
 #: Lines of more words have a parity map of 128 bits: near copies that are not similar differ in few bits, and the flips of many tokens fill 64.
 LONG = 16
+#: Parts, by token, in which the join of as many groups as ``MANY`` or more is made, so that not all postings are on disk at once.
+TOKEN_PARTS = 3
+MANY = 1 << 16
 #: Pairs of postings for each line from which on words are counted.
 MOST_PAIRS = 1000
 _LAST = 9223372036854775807
@@ -89,8 +92,8 @@ def _tokens() -> Column:
 
 
 def _held(spark, table: bytes) -> Column:
-    """A table of bytes as a column; as a subquery it stays out of the text of plans."""
-    return spark.createDataFrame([(bytearray(table),)], "table binary").scalar()
+    """A table of bits as a column of 64-bit words; as a subquery it stays out of the text of plans."""
+    return spark.createDataFrame([(np.frombuffer(table, "<i8").tolist(),)], "table array<long>").scalar()
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -169,10 +172,9 @@ def _slot(columns: tuple[str, ...], bits: int = PLACE_BITS) -> Column:
 
 
 def _in_table(table: Column, columns: tuple[str, ...]) -> Column:
-    slot = _slot(columns)
-    at, bit = F.bitmap_bucket_number(slot) * F.lit(1 << 12) + F.shiftright(F.bitmap_bit_position(slot), 3) + 1, F.bitmap_bit_position(slot).bitwiseAND(F.lit(7)).cast("int")
-    byte = F.conv(F.hex(F.substring(table, at.cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.call_function("shiftright", byte, bit).bitwiseAND(F.lit(1)) == 1
+    bit = _slot(columns) - 1 + (1 << 15)  # a bucket of the table has 2**15 bits, and the first slot opens bucket 1
+    word = F.get(table, F.shiftright(bit, 6).cast("int"))
+    return F.call_function("shiftright", word, bit.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
 def _repeated(rows: DataFrame, columns: tuple[str, ...]) -> Column:
@@ -208,6 +210,16 @@ def _verified(pairs: DataFrame, groups: DataFrame, docs: DataFrame, threshold: f
     return found.distinct()
 
 
+def _class(threshold: float) -> Column:
+    """The class of a line's length; those of similar lines differ by one at most."""
+    n, base = F.col("n"), 1 / threshold
+    return F.floor(F.log(n) / math.log(base) + 1e-9) if base > 1 else n.cast("long")
+
+
+def _posted(step: Column, x: Column) -> Column:
+    return F.shiftleft(step, 32).bitwiseOR(x.cast("long"))
+
+
 def posted_prefixes(left: DataFrame, threshold: float) -> DataFrame:
     """Rows by token, a prefix token and a class of length; at is its place, or -1 - place if the line is found similar already and stands as an earlier one only.
 
@@ -217,15 +229,14 @@ def posted_prefixes(left: DataFrame, threshold: float) -> DataFrame:
     has the two tokens before it: where two lines share one of those too, they
     have met by it.
     """
-    n, base = F.col("n"), 1 / threshold
-    step = F.floor(F.log(n) / math.log(base) + 1e-9) if base > 1 else n.cast("long")
+    n, base, step = F.col("n"), 1 / threshold, _class(threshold)
     longer = F.greatest(n, F.ceil(F.pow(F.lit(base), step + 1) * (1 - 1e-6))) if base > 1 else n + 1
     shared = F.when(n >= F.lit(threshold) * longer - 1e-9, F.greatest(n - _least_overlap(n, longer, threshold) + 1, F.lit(0))).otherwise(0).cast("int")
     rows = left.select("id", "d", "line", "n", "bits", "half", "gone", step.alias("step"), F.size("prefix").alias("size"), "prefix", F.posexplode(F.concat("prefix", F.slice("prefix", F.lit(1), shared))).alias("pos", "x"))
     own = F.col("pos") < F.col("size")
     at = F.when(own, F.col("pos")).otherwise(F.col("pos") - F.col("size"))
     before = lambda k: F.coalesce(F.get("prefix", at - k).cast("long") + 1, F.lit(0).cast("long"))  # 0: none
-    token = F.shiftleft(F.col("step") + F.when(own, 0).otherwise(1), 32).bitwiseOR(F.col("x").cast("long"))
+    token = _posted(F.col("step") + F.when(own, 0).otherwise(1), F.col("x"))
     return rows.select("id", "d", "line", "n", "bits", "half", F.when(F.col("gone"), -1 - at).otherwise(at).alias("at"), F.shiftleft(before(1), 32).bitwiseOR(before(2)).alias("prev"), own.alias("own"), token.alias("token"))
 
 
@@ -241,8 +252,8 @@ def pairs_of_postings(groups: DataFrame, threshold: float, cells: int = 1 << 16)
     Each token adds 1 or -1 to one of ``cells`` sums; their squares add up to
     that sum but for about a hundredth of it.
     """
-    posted = posted_prefixes(groups.withColumn("gone", F.lit(False)), threshold).where("own")
-    h = F.xxhash64("token")
+    posted = groups.select(_class(threshold).alias("step"), F.explode("prefix").alias("x"))
+    h = F.xxhash64(_posted(F.col("step"), F.col("x")))
     signed = posted.select(h.bitwiseAND(F.lit(cells - 1)).alias("c"), (1 - 2 * F.shiftright(h, 20).bitwiseAND(F.lit(1))).alias("v"))
     sums = signed.groupBy("c").agg(F.sum("v").alias("v")).toArrow()["v"].to_numpy()  # ``cells`` rows at most
     return float((sums.astype(float) ** 2).sum())
@@ -274,13 +285,22 @@ def similar_groups(groups: DataFrame, docs: DataFrame, threshold: float, large:
     flagged = named.where("named").drop("named").join(gone.withColumn("similar", F.lit(True)), "id", "left")
     left = named.where("not named").withColumn("gone", F.lit(False)).drop("named").unionByName(flagged.withColumn("gone", F.col("similar").isNotNull()).drop("similar"))
     left = stash(left, "line-left")
-    posted = posted_prefixes(left, threshold)
+    everything = posted_prefixes(left, threshold)
     # Both sides are one plan, names and all, so that their exchange is made once: no part of the condition is of one side alone.
     room = F.least(*[x("n") - F.greatest(x("at"), -1 - x("at")) for x in (a, b)])
     matches = (a("token") == b("token")) & _earlier(a, b) & (F.least(a("n"), b("at")) >= 0) & (a("own") | b("own")) & ~_met(a, b)  # n is 1 at least: b is not gone
-    joined = posted.alias("a").join(posted.alias("b"), matches & _fits(a, b, threshold) & (room >= _least_overlap(a("n"), b("n"), threshold)))
-    pairs = stash(joined.select(F.struct(a("d"), a("line"), a("id").alias("id")).alias("at"), b("id").alias("b")).distinct(), "line-pairs")
+    parts = TOKEN_PARTS if n_groups >= MANY else 1
+    made = []
+    for k in range(parts):
+        posted = everything.where(F.col("token").bitwiseAND(F.lit((1 << 31) - 1)) % parts == k) if parts > 1 else everything
+        joined = posted.alias("a").join(posted.alias("b"), matches & _fits(a, b, threshold) & (room >= _least_overlap(a("n"), b("n"), threshold)))
+        made.append(stash(joined.select(F.struct(a("d"), a("line"), a("id").alias("id")).alias("at"), b("id").alias("b")).distinct(), "line-pairs"))
     unstash(left)
+    pairs = made[0]
+    if parts > 1:  # lines may meet in several parts
+        pairs = stash(reduce(DataFrame.union, made).distinct(), "line-pairs")
+        for part in made:
+            unstash(part)
     if pairs.count() * PARTS <= n_groups:
         found = gone.union(_verified(pairs.select(F.col("at.id").alias("a"), "b"), groups, docs, threshold, "line-few", n_groups))
         unstash(pairs)

@@ -141,3 +141,25 @@ def test_words_are_counted_only_where_the_order_by_length_makes_many_pairs(spark
     got = {r.doc_id: (r.n_lines, r.removed) for r in line_dedup.removed_lines(df, bits=12).collect()}
     assert got == plain(rows) and sum(len(r) for _, r in got.values()) > 40
     assert len(counted) == (most == 0)
+
+
+def test_postings_of_many_lines_are_joined_in_parts(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = []
+    for i in range(60):
+        own = [f"p{rng.randint(0, 300)}" for _ in range(20)]
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join([*own[:18], f"q{i}", own[19]]))]
+    posted, real = [], line_dedup.stash
+
+    def seen(df, tag):
+        if tag == "line-pairs" and "Join" in (plan := df._jdf.queryExecution().optimizedPlan().toString()):
+            posted.append(plan)
+        return real(df, tag)
+
+    monkeypatch.setattr(line_dedup, "stash", seen)
+    monkeypatch.setattr(line_dedup, "MANY", 1, raising=False)
+    monkeypatch.setattr(line_dedup, "leaders_of", lambda groups, *_: groups.selectExpr("id AS a", "id AS b").limit(0))  # the join finds all
+    df = spark.createDataFrame([(i, t, 0, 0, 0, "") for i, t in rows], DOCS)
+    got = {r.doc_id: (r.n_lines, r.removed) for r in line_dedup.removed_lines(df, bits=12).collect()}
+    assert got == plain(rows) and sum(len(r) for _, r in got.values()) >= 55
+    assert len(posted) == 3 and all(f"% 3) = {k})" in p for k, p in enumerate(posted))
